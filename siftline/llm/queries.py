@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import quality_gam
+from siftline.llm import decontaminate, quality_gam
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds passages of test items: what goes and what remains."""
+    parts = decontaminate.matchers(_table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(_table(spark, sf_dir, "documents"), parts)
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the quality classifier keeps, with its score."""
     docs = _table(spark, sf_dir, "documents")
@@ -21,9 +27,9 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op8_quality_gam]
+    found = [op1_decontaminate, op8_quality_gam]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": decontaminate.SQL}

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +78,76 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"groups didn't settle in {rounds} rounds")
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+#: Bits of the filter that marks what a second pass over the texts fetches: 16 MB at most.
+FILTER_BITS = 1 << 27
+#: Mixes the number of a part into the id of its row.
+PART_FACTOR = 0x5851F42D
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it differ from the columns' names."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
+    """``docs`` and a hash of id and text, equal for repeats of a row and known for null ids."""
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text")))
+
+
+def position_filter(wanted: DataFrame) -> np.ndarray:
+    """A bit table of the ``(rid, part)`` positions: all of them are in it, and some others by chance.
+
+    It takes 16 bits a position up to ``FILTER_BITS``; beyond, more others pass, none is lost.
+    """
+    bits = 1 << 16
+    while bits < min(FILTER_BITS, 16 * wanted.count()):
+        bits *= 2
+    at = F.col("rid").bitwiseXOR(F.col("part").cast("long") * PART_FACTOR).bitwiseAND(F.lit(bits - 1))
+    made = wanted.select(F.shiftright(at, 6).cast("int").alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    made = made.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[made.column("w").to_numpy()] = made.column("v").to_numpy()
+    return table
+
+
+def in_filter(table: np.ndarray, rid: np.ndarray, part: np.ndarray) -> np.ndarray:
+    at = (rid ^ (part.astype(np.int64) * PART_FACTOR)) & np.int64(len(table) * 64 - 1)
+    return ((table[at >> 6] >> (at & 63)) & 1).astype(np.bool_)
+
+
+def grouped(keys: DataFrame, ratio: float, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``(node, root)`` of the groups that verified pairs of ``keys(key, id, size)`` connect.
+
+    Two ids are candidates if they share a key and the smaller size is ``ratio`` of the larger at
+    least.  ``prepare(ids)`` gives the function that keeps the true ones of ``(a, b)`` pairs.
+
+    Within one group no pair matters any more.  So each key's ids are first compared with its least
+    id, and connected; then, of the keys whose ids aren't in one group yet, all pairs across groups
+    are compared.  This gives the groups that comparing all pairs gives, without the pairs within
+    large groups of copies.
+    """
+    w = Window.partitionBy("key")
+    members = keys.repartition("key").groupBy("key", "id").agg(F.max("size").alias("size"))
+    members = members.select("key", "id", "size", F.min(F.struct("id", "size")).over(w).alias("lead"), F.max("id").over(w).alias("last"))
+    members = written(members.where("lead.id <> last").drop("last"))
+    verify = prepare(members.select("id").distinct())
+
+    def near(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(ratio)
+
+    first = members.where(F.col("id") != F.col("lead.id")).where(near("size", "lead.size"))
+    edges = written(verify(first.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()))
+    groups = connected(edges)
+    placed = members.join(groups, members.id == groups.node, "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"), (F.col("id") == F.col("lead.id")).alias("led"))
+    mixed = placed.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low <> high AND NOT led").select("key", "id", "size", "root")
+    other = mixed.select("key", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
+    across = mixed.join(other, "key").where("root < root2").where(near("size", "size2"))
+    more = written(verify(across.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()))
+    if more.isEmpty():
+        return groups
+    return connected(edges.select("a", "b").union(more.select("a", "b")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import decontaminate, quality_gam
+from siftline.llm import decontaminate, line_dedup, quality_gam
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), parts)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that loses fuzzily repeated lines: what goes and what remains."""
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the quality classifier keeps, with its score."""
     docs = _table(spark, sf_dir, "documents")
@@ -27,7 +32,7 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op8_quality_gam]
+    found = [op1_decontaminate, op5_line_dedup, op8_quality_gam]
     return {f.__name__: f for f in found}
 
 

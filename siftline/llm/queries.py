@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import decontaminate, line_dedup, quality_gam
+from siftline.llm import bpe, decontaminate, licenses, line_dedup, quality_gam, risk_rules, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,34 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), parts)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every toxic document, with its score."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("toxic").select("doc_id", "toxicity")
+
+
+def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that no quality rule rejects, with its stratum."""
+    judged = risk_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.where("size(failed) = 0").select("doc_id", "stratum")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that loses fuzzily repeated lines: what goes and what remains."""
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard; documents of one text stay together."""
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and whether they decode to its text."""
+    return bpe.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the quality classifier keeps, with its score."""
     docs = _table(spark, sf_dir, "documents")
@@ -31,8 +54,13 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, model).where("kept").select("doc_id", "quality_score")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document that states a licence, with its family."""
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.train())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op5_line_dedup, op8_quality_gam]
+    found = [op1_decontaminate, op2_toxicity, op3_risk_rules, op5_line_dedup, op6_sharding, op7_bpe, op8_quality_gam, op10_licenses]
     return {f.__name__: f for f in found}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, decontaminate, licenses, line_dedup, quality_gam, risk_rules, sharding, toxicity
+from siftline.llm import bpe, decontaminate, licenses, line_dedup, quality_gam, risk_rules, setsketch, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("size(failed) = 0").select("doc_id", "stratum")
 
 
+def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a group of near duplicates, and which one is kept."""
+    return setsketch.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that loses fuzzily repeated lines: what goes and what remains."""
     return line_dedup.report(_table(spark, sf_dir, "documents"))
@@ -60,7 +65,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_toxicity, op3_risk_rules, op5_line_dedup, op6_sharding, op7_bpe, op8_quality_gam, op10_licenses]
+    found = [op1_decontaminate, op2_toxicity, op3_risk_rules, op4_setsketch, op5_line_dedup, op6_sharding, op7_bpe, op8_quality_gam, op10_licenses]
     return {f.__name__: f for f in found}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, decontaminate, licenses, line_dedup, quality_gam, risk_rules, setsketch, sharding, toxicity
+from siftline.llm import bpe, decontaminate, licenses, line_dedup, quality_gam, risk_rules, setsketch, sharding, sparse_suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,18 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, model).where("kept").select("doc_id", "quality_score")
 
 
+def op9_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage that is repeated in the table, with its spans."""
+    return sparse_suffix.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document that states a licence, with its family."""
     return licenses.scan(_table(spark, sf_dir, "documents"), licenses.train())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_toxicity, op3_risk_rules, op4_setsketch, op5_line_dedup, op6_sharding, op7_bpe, op8_quality_gam, op10_licenses]
+    found = [op1_decontaminate, op2_toxicity, op3_risk_rules, op4_setsketch, op5_line_dedup, op6_sharding, op7_bpe, op8_quality_gam, op9_sparse_suffix, op10_licenses]
     return {f.__name__: f for f in found}
 
 

@@ -4,8 +4,9 @@ A line is normalised to its lower-cased words with single spaces.  Lines without
 alone.  Of each group of lines that are equal or chained by an edit similarity of ``SIMILARITY``
 at least, the occurrence with the least (doc_id, line number) stays.
 
-The words of a line are dealt by hash into ``CLASSES`` classes, and each class has its own 64-bit
-SimHash, one block of the line's fingerprint.  So changed words leave the blocks of the other
+The telling words of a line, of ``TELLING`` bytes at least (all words, if none is), are dealt by hash
+into ``CLASSES`` classes, and each class has its own 64-bit SimHash, one block of the line's
+fingerprint.  Short words would outvote the others in a SimHash, and make lines alike that aren't.  So changed words leave the blocks of the other
 classes as they are, and by the pigeonhole principle few changes leave some block equal.  A block
 of few letters says little; it is joined with the next classes' until it holds ``LETTERS``.  Lines
 that share a block are candidates; the edit distance of every such pair decides (see
@@ -28,7 +29,8 @@ from siftline.llm import textkit as tk
 
 SIMILARITY = 0.9
 CLASSES = 6
-LETTERS = 12
+LETTERS = 16
+TELLING = 5
 
 U64 = np.uint64
 
@@ -105,7 +107,9 @@ def _lines(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(np.diff(at) > 0)
                 rows = np.repeat(np.arange(len(piece)), np.diff(row_first))
                 number = np.arange(len(rows)) - row_first[rows]
-                keys = blocks(hashes, letters, at)[full]
+                tell = letters >= TELLING
+                use = np.flatnonzero(tell | np.repeat(tk.row_sums(tell, at) == 0, np.diff(at)))
+                keys = blocks(hashes[use], letters[use], np.searchsorted(use, at))[full]
                 keys.sort(axis=1)
                 new = np.ones(keys.shape, np.bool_)
                 new[:, 1:] = keys[:, 1:] != keys[:, :-1]

@@ -19,7 +19,8 @@ from siftline.functions.porter2 import stem
 #: join words when between two, and all beyond Latin letters, marks and ordinary punctuation.
 _INVOLVED = re.compile(r"[^\W_]['.:·’;,․‧＇．][^\W_]|_['.:·’;,․‧＇．]|['.:·’;,․‧＇．]_|[ª-­²³¹º¼-¾]|[^\x00-ɏ‐-―‘-‟•…‰‹›€™]")
 _PLAIN = re.compile(r"\w+")
-_SEGMENT = regex.compile(r"(?wV1)\b")
+_W = r"[[\p{L}\p{M}\p{Nd}\p{Nl}_]--[\p{Han}\p{Hiragana}\p{Katakana}]]"
+_SEGMENT = regex.compile(rf"(?V1)[\p{{Han}}\p{{Hiragana}}]\p{{M}}*|[\p{{Katakana}}ー]+|\p{{No}}|{_W}+(?:(?:[:·.'’․‧＇．](?<=\p{{L}}\p{{M}}*.)(?=\p{{L}})|[.,;'’․＇．](?<=\p{{Nd}}.)(?=\p{{Nd}})){_W}+)*")
 
 
 def lines(text: str | None) -> list[str]:
@@ -35,10 +36,11 @@ def lines(text: str | None) -> list[str]:
 
 
 def _segments(line: str) -> list[tuple[int, int]]:
-    """Ranges of characters of the words, by the rules of Unicode."""
-    cuts = [m.start() for m in _SEGMENT.finditer(line)]
-    cuts = sorted({0, *cuts, len(line)})
-    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if any(c.isalnum() for c in line[a:b])]
+    """Ranges of characters of the words, by the rules of Unicode.
+
+    Ideographs and Hiragana are words by themselves, Katakana runs are words; marks stay with what they follow.
+    """
+    return [m.span() for m in _SEGMENT.finditer(line) if any(c.isalnum() for c in m.group())]
 
 
 def _ranges(line: str) -> list[tuple[int, int]]:

@@ -44,7 +44,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
-_WORDS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+(?:[.:]\p{L}[\p{L}\p{M}\p{N}_]*|[.,;]\p{Nd}[\p{L}\p{M}\p{N}_]*)*'), lambda w: regexp_matches(w, '[\p{L}\p{N}]'))"
+_WORDS = r"list_filter(regexp_extract_all(lower(text), '(?:\p{L}(?:[.:·''’]\p{L})*|\p{Nd}(?:[.,;''’]\p{Nd})*|[\p{M}\p{Nl}\p{No}_])+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]'))"
 
 
 def _lines_sql(table: str = "documents", id: str = "doc_id") -> str:

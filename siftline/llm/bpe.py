@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from siftline.llm import textkit as tk
 
@@ -127,8 +128,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
             found = [None if t is None else own.encode(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, tokens])
 
-    kinds = docs.schema.add(tokens, "array<int>")
-    return docs.mapInArrow(made, kinds)
+    return docs.mapInArrow(made, StructType([*docs.schema.fields, StructField(tokens, ArrayType(IntegerType()))]))
 
 
 def decode(docs: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY, pattern: str = PATTERN, text: str = "decoded") -> DataFrame:
@@ -146,7 +146,7 @@ def decode(docs: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY
             found = [None if t is None else own.decode(t).decode(errors="replace") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, text])
 
-    return docs.mapInArrow(made, docs.schema.add(text, "string"))
+    return docs.mapInArrow(made, StructType([*docs.schema.fields, StructField(text, StringType())]))
 
 
 REPORT = "doc_id bigint, n_bytes bigint, n_tokens bigint, tokens array<int>, exact boolean"

@@ -25,6 +25,8 @@ from siftline.llm import cluster
 
 SHARDS = 16
 CELL_GROUPS = 50_000
+#: Sums that a cell holds at first, at most: its groups times the shards.
+CELL_NUMBERS = 10_000_000
 
 
 def difference(partials: np.ndarray) -> np.ndarray:
@@ -71,13 +73,10 @@ def balance(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     if len(sizes) == 0:
         return np.zeros(0, np.int64), np.zeros(shards, np.int64)
     order = np.argsort(-sizes, kind="stable")
-    # balanced differencing (Michiels et al.): the first partial partitions take as many sizes, in order, as there are shards
-    partials = np.zeros((math.ceil(len(sizes) / shards), shards), np.int64)
-    padded = np.append(sizes[order], np.zeros(partials.size - len(sizes), np.int64))
-    partials[:] = padded.reshape(partials.shape)
-    places = difference(partials)
+    partials = np.zeros((len(sizes), shards), np.int64)
+    partials[:, 0] = sizes[order]
     shard = np.empty(len(sizes), np.int64)
-    shard[order] = places.reshape(-1)[: len(sizes)]
+    shard[order] = difference(partials)[:, 0]
     return shard, np.bincount(shard, sizes, shards).astype(np.int64)
 
 
@@ -96,7 +95,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, group: Column | None = None, c
     key = text_group() if group is None else F.xxhash64(group, group.isNull())
     rows = docs.select("doc_id", key.alias("g"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     groups = cluster.written(rows.groupBy("g").agg(F.sum("n_bytes").alias("size")))
-    cells = max(1, math.ceil(groups.count() / cell_groups))
+    cells = max(1, math.ceil(groups.count() / min(cell_groups, max(1, CELL_NUMBERS // shards))))
     cell = F.pmod(F.hash("g"), F.lit(cells))
 
     def placed(table: pd.DataFrame) -> pd.DataFrame:

@@ -27,7 +27,7 @@ def shared_path(spark: SparkSession) -> str:
     """A new path in the folder named in ``spark.checkpoint.dir``; in a local session without it, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="siftline-")
     return f"{at.rstrip('/')}/siftline-{uuid.uuid4().hex}"

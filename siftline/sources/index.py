@@ -82,22 +82,21 @@ def vocabulary(found: DataFrame) -> DataFrame:
     return found.groupBy("stem").agg(F.count("*").alias("df"))
 
 
-def numbered(found: DataFrame) -> DataFrame:
+def numbered(found: DataFrame, parts: int = 256) -> DataFrame:
     """``(stem, term_id)`` of postings: terms numbered from 1 in the order in which they first occur.
 
-    Ranges are sorted apart; the numbers of rows before each range, one for each partition, meet on the
-    driver.
+    Terms are numbered within ``parts`` ranges of document ids; how many terms come before each range is
+    counted apart.  The ranges depend on the ids alone, so that a task that runs again numbers alike.
     """
     first = F.min(F.struct("doc_id", "sentence_idx", F.element_at("positions", 1).alias("pos"))).alias("first")
-    ranged = found.groupBy("stem").agg(first).repartitionByRange("first").select("stem", "first", F.spark_partition_id().alias("part"))
-    own = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("first")))
-    counts = {r.part: r["count"] for r in ranged.groupBy("part").count().collect()}
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part] = total
-        total += counts[part]
-    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map().cast("map<int,int>")
-    return own.select("stem", (F.col("n") + F.element_at(offset, F.col("part"))).cast("int").alias("term_id"))
+    bounds = found.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    low, high = (bounds.low, bounds.high) if bounds.low is not None else (0, 0)
+    part = F.floor((F.col("first.doc_id") - F.lit(low)) / F.lit((high - low) // parts + 1)).cast("int")
+    terms = found.groupBy("stem").agg(first).withColumn("part", part)
+    counts = terms.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # ``parts`` rows
+    own = terms.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("first")))
+    return own.join(F.broadcast(before), "part").select("stem", (F.col("place") + F.col("before")).cast("int").alias("term_id"))
 
 
 def write(index: Index, path: str, mode: str = "errorifexists") -> Index:

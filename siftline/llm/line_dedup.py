@@ -31,6 +31,9 @@ SIMILARITY = 0.9
 CLASSES = 6
 LETTERS = 16
 TELLING = 5
+#: Classes of trigrams by which pairs are refused before their edit distance is computed.
+PROFILE_BITS = 10
+PROFILE = 1 << PROFILE_BITS
 
 U64 = np.uint64
 
@@ -145,6 +148,51 @@ def _fetched(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return cluster.row_id(docs.select("doc_id", "text")).select("_rid", "text").mapInArrow(made, "rid bigint, part int, norm string")
 
 
+def _profile(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Counts of byte trigrams in ``PROFILE`` classes, for each row."""
+    n = len(at) - 1
+    if len(data) < 3:
+        return np.zeros((n, PROFILE), np.int32)
+    wide = data.astype(np.uint32)
+    code = ((wide[:-2] * np.uint32(0x9E3779B1)) ^ (wide[1:-1] * np.uint32(0x85EBCA77)) ^ (wide[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(32 - PROFILE_BITS)
+    rows = np.repeat(np.arange(n), np.diff(at))[: len(code)]
+    inside = np.arange(len(code)) + 2 < at[1:][rows]
+    return np.bincount(rows[inside] * PROFILE + code[inside], minlength=n * PROFILE).reshape(n, PROFILE).astype(np.int32)
+
+
+def _differences(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """What the pairs' texts don't share at their beginning and end, and the edits that are allowed.
+
+    Pairs whose trigrams differ by more than that many edits can change are left out: an edit of a
+    character of c bytes changes 2 + c trigrams on each side.
+    """
+    for b in batches:
+        for first in range(0, b.num_rows, 128):
+            part = b.slice(first, 128)
+            ids = [part.column(0), part.column(1)]
+            texts = [tk.strings(part.column(i)) for i in (2, 3)]
+            most = np.floor(np.maximum(*(tk.pc.utf8_length(t).to_numpy() for t in texts)) * (1 - similarity) + 1e-9).astype(np.int32)
+            raw = [tk.buffers(t) for t in texts]
+            bytes_ = np.max([tk.row_sums(d >= 0xE0, at) > 0 for d, at in raw], axis=0) * 2 + np.max([tk.row_sums(d >= 0x80, at) > 0 for d, at in raw], axis=0) + 1
+            apart = np.abs(_profile(*raw[0]) - _profile(*raw[1])).sum(1)
+            hit = np.flatnonzero(apart <= 2 * (2 + bytes_) * most)
+            cut = [_trimmed(texts[0][i].as_py(), texts[1][i].as_py()) for i in hit.tolist()]
+            take = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([ids[0].take(take), ids[1].take(take), pa.array([x for x, _ in cut], pa.string()), pa.array([y for _, y in cut], pa.string()), pa.array(most[hit])], ["a", "b", "ta", "tb", "most"])
+
+
+def _trimmed(x: str, y: str) -> tuple[str, str]:
+    """The texts without their common beginning and end, which no least edit touches."""
+    short = min(len(x), len(y))
+    u, v = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (x, y))
+    other = np.flatnonzero(u[:short] != v[:short])
+    head = int(other[0]) if len(other) else short
+    u, v, short = u[head:], v[head:], short - head
+    other = np.flatnonzero(u[len(u) - short :][::-1] != v[len(v) - short :][::-1])
+    tail = int(other[0]) if len(other) else short
+    return x[head : len(x) - tail], y[head : len(y) - tail]
+
+
 def _verifier(docs: DataFrame, lines: DataFrame, similarity: float) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
     def prepare(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
         spots = lines.join(ids, lines.h == ids.id, "left_semi").groupBy("h").agg(F.min(F.struct("rid", "line")).alias("p"))
@@ -153,9 +201,9 @@ def _verifier(docs: DataFrame, lines: DataFrame, similarity: float) -> Callable[
 
         def verify(pairs: DataFrame) -> DataFrame:
             left, right = (texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}")) for c in "ab")
-            longest = "greatest(char_length(ta), char_length(tb))"
-            most = f"CAST(floor({longest} * {1 - similarity:.6f} + 1e-9) AS INT)"
-            return pairs.join(left, "a").join(right, "b").where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b")
+            joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+            cut = joined.mapInArrow(lambda batches: _differences(batches, similarity), "a bigint, b bigint, ta string, tb string, most int")
+            return cut.where("levenshtein(ta, tb, most) >= 0").select("a", "b")
 
         return verify
 

@@ -8,7 +8,9 @@ The telling words of a line, of ``TELLING`` bytes at least (all words, if none i
 into ``CLASSES`` classes, and each class has its own 64-bit SimHash, one block of the line's
 fingerprint.  Short words would outvote the others in a SimHash, and make lines alike that aren't.  So changed words leave the blocks of the other
 classes as they are, and by the pigeonhole principle few changes leave some block equal.  A block
-of few letters says little; it is joined with the next classes' until it holds ``LETTERS``.  Lines
+of few letters says little; it is joined with the next classes' until it holds ``LETTERS``.  That
+leaves lines of few words few blocks, so lines of ``FEW`` words at most also have a key for every word
+left out, of the other words in their places, if these hold ``FEW_LETTERS``.  Lines
 that share a block are candidates; the edit distance of every such pair decides (see
 :func:`siftline.llm.cluster.grouped` for the pairs within a group that needn't be looked at).
 
@@ -29,12 +31,15 @@ from siftline.llm import textkit as tk
 
 SIMILARITY = 0.9
 CLASSES = 6
-LETTERS = 16
+LETTERS = 12
 TELLING = 5
+FEW = 16
+FEW_LETTERS = 6
 #: Classes of trigrams by which pairs are refused before their edit distance is computed.
 PROFILE_BITS = 10
 PROFILE = 1 << PROFILE_BITS
 
+
 U64 = np.uint64
 
 
@@ -91,6 +96,37 @@ def blocks(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, classes: int
     return out
 
 
+def left_out(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, most: int = FEW, least: int = FEW_LETTERS) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and keys of all words but one, for each word of a line of ``most`` words at most."""
+    size = np.diff(at)
+    lines = np.flatnonzero((size > 1) & (size <= most))
+    n = size[lines]
+    line = np.repeat(lines, n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    word = at[line] + place
+    term = hashes[word] * tk.powers(most + 1)[0][place + 1]
+    total, held = np.zeros(len(size), U64), np.zeros(len(size), np.int64)
+    np.add.at(total, line, term)
+    np.add.at(held, line, letters[word])
+    keys = tk.mix(total[line] - term + tk.mix((place * 64 + size[line]).astype(U64)))
+    enough = held[line] - letters[word] >= least
+    return line[enough], keys[enough]
+
+
+def keys_of(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key, in order of lines, of all distinct keys."""
+    tell = letters >= TELLING
+    use = np.flatnonzero(tell | np.repeat(tk.row_sums(tell, at) == 0, np.diff(at)))
+    made = blocks(hashes[use], letters[use], np.searchsorted(use, at))
+    made.sort(axis=1)
+    new = np.diff(at)[:, None] > np.zeros(made.shape[1], np.int64)
+    new[:, 1:] &= made[:, 1:] != made[:, :-1]
+    line, key = left_out(hashes, letters, at)
+    lines, keys = np.concatenate([np.nonzero(new)[0], line]), np.concatenate([made[new], key])
+    order = np.argsort(lines, kind="stable")
+    return lines[order], keys[order]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, rid, line, h, size, keys)`` of every line with words; equal lines of a batch have keys once."""
 
@@ -110,19 +146,14 @@ def _lines(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(np.diff(at) > 0)
                 rows = np.repeat(np.arange(len(piece)), np.diff(row_first))
                 number = np.arange(len(rows)) - row_first[rows]
-                tell = letters >= TELLING
-                use = np.flatnonzero(tell | np.repeat(tk.row_sums(tell, at) == 0, np.diff(at)))
-                keys = blocks(hashes[use], letters[use], np.searchsorted(use, at))[full]
-                keys.sort(axis=1)
-                new = np.ones(keys.shape, np.bool_)
-                new[:, 1:] = keys[:, 1:] != keys[:, :-1]
                 _, once = np.unique(h[full], return_index=True)
-                seen = np.ones(len(full), np.bool_)
-                seen[once] = False
-                new[seen] = False
-                offsets = np.concatenate(([0], np.cumsum(new.sum(1)))).astype(np.int32)
+                seen = np.zeros(len(at) - 1, np.bool_)
+                seen[full[once]] = True
+                line, keys = keys_of(hashes, letters, at)
+                line, keys = line[seen[line]], keys[seen[line]]
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(at) - 1)[full]))).astype(np.int32)
                 take = pa.array(first + rows[full])
-                yield pa.RecordBatch.from_arrays([ids.take(take), rids.take(take), pa.array(number[full].astype(np.int32)), pa.array(h[full].view(np.int64)), pa.array(size[full].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[new].view(np.int64)))], ["doc_id", "rid", "line", "h", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.take(take), rids.take(take), pa.array(number[full].astype(np.int32)), pa.array(h[full].view(np.int64)), pa.array(size[full].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))], ["doc_id", "rid", "line", "h", "size", "keys"])
 
     return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(made, "doc_id bigint, rid bigint, line int, h bigint, size int, keys array<bigint>")
 

@@ -38,7 +38,9 @@ FEW_LETTERS = 6
 #: Classes of trigrams by which pairs are refused before their edit distance is computed.
 PROFILE_BITS = 10
 PROFILE = 1 << PROFILE_BITS
-
+#: Words beyond a difference within which an alignment looks for agreement.
+REACH = 6
+_STEPS = sorted(((a, b) for a in range(REACH + 1) for b in range(REACH + 1) if a + b), key=lambda s: (sum(s), abs(s[0] - s[1])))
 
 U64 = np.uint64
 
@@ -191,25 +193,52 @@ def _profile(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bincount(rows[inside] * PROFILE + code[inside], minlength=n * PROFILE).reshape(n, PROFILE).astype(np.int32)
 
 
+def alignment(x: list[str], y: list[str], most: int) -> bool:
+    """Whether a plain walk through both word lists finds an alignment of ``most`` edits.
+
+    At a difference it looks for the nearest place, ``REACH`` words on at most, from which the lists agree
+    again.  Any alignment bounds the distance from above, so True is certain and False is not.
+    """
+    i = j = cost = 0
+    n, m = len(x), len(y)
+    while i < n or j < m:
+        if i < n and j < m and x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for a, b in _STEPS:
+            if i + a < n and j + b < m and x[i + a] == y[j + b] and (i + a + 1 == n or j + b + 1 == m or x[i + a + 1] == y[j + b + 1]):
+                break
+        else:
+            a, b = n - i, m - j
+        cost += max(sum(map(len, x[i : i + a])) + a, sum(map(len, y[j : j + b])) + b)
+        if cost > most:
+            return False
+        i, j = i + a, j + b
+    return True
+
+
 def _differences(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """What the pairs' texts don't share at their beginning and end, and the edits that are allowed.
+    """The pairs that may be similar: what their texts don't share at both ends, and the edits allowed.
 
-    Pairs whose trigrams differ by more than that many edits can change are left out: an edit of a
-    character of c bytes changes 2 + c trigrams on each side.
+    Nothing is left of the texts of pairs that an alignment proves similar.  Of the others, those go
+    whose trigrams differ by more than that many edits can change: an edit of a character of c bytes
+    changes 2 + c trigrams on each side.
     """
     for b in batches:
         for first in range(0, b.num_rows, 128):
             part = b.slice(first, 128)
-            ids = [part.column(0), part.column(1)]
             texts = [tk.strings(part.column(i)) for i in (2, 3)]
             most = np.floor(np.maximum(*(tk.pc.utf8_length(t).to_numpy() for t in texts)) * (1 - similarity) + 1e-9).astype(np.int32)
-            raw = [tk.buffers(t) for t in texts]
-            bytes_ = np.max([tk.row_sums(d >= 0xE0, at) > 0 for d, at in raw], axis=0) * 2 + np.max([tk.row_sums(d >= 0x80, at) > 0 for d, at in raw], axis=0) + 1
+            sure = np.array([alignment(x.split(" "), y.split(" "), k) for x, y, k in zip(texts[0].to_pylist(), texts[1].to_pylist(), most.tolist(), strict=True)], np.bool_)
+            rest = np.flatnonzero(~sure)
+            raw = [tk.buffers(t.take(pa.array(rest))) for t in texts]
+            width = 1 + sum(np.max([tk.row_sums(d >= least, at) > 0 for d, at in raw], axis=0) * more for least, more in ((0x80, 1), (0xE0, 2)))
             apart = np.abs(_profile(*raw[0]) - _profile(*raw[1])).sum(1)
-            hit = np.flatnonzero(apart <= 2 * (2 + bytes_) * most)
-            cut = [_trimmed(texts[0][i].as_py(), texts[1][i].as_py()) for i in hit.tolist()]
-            take = pa.array(hit)
-            yield pa.RecordBatch.from_arrays([ids[0].take(take), ids[1].take(take), pa.array([x for x, _ in cut], pa.string()), pa.array([y for _, y in cut], pa.string()), pa.array(most[hit])], ["a", "b", "ta", "tb", "most"])
+            rest = rest[apart <= 2 * (2 + width) * most[rest]]
+            cut = [_trimmed(texts[0][i].as_py(), texts[1][i].as_py()) for i in rest.tolist()]
+            hit = np.concatenate([np.flatnonzero(sure), rest])
+            take, blank = pa.array(hit), [""] * int(sure.sum())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array([*blank, *(x for x, _ in cut)], pa.string()), pa.array([*blank, *(y for _, y in cut)], pa.string()), pa.array(most[hit])], ["a", "b", "ta", "tb", "most"])
 
 
 def _trimmed(x: str, y: str) -> tuple[str, str]:
@@ -258,25 +287,25 @@ def _with_kept(docs: DataFrame, similarity: float) -> DataFrame:
     return cluster.row_id(docs, rid).join(kept, rid, "left").select(*docs.columns, lines)
 
 
-def _cleaned(column: pa.Array, kept: pa.Array) -> Iterator[tuple[str, int, int, bool]]:
-    """For each row: remaining text, lines, removed lines, and whether it goes altogether."""
-    for text, keep in zip(column, kept, strict=True):
-        raw = text.as_py()
-        if not raw:
-            yield raw, 0, 0, False
-            continue
-        data, at = tk.buffers(pa.array([raw], pa.string()))
-        starts, _ = line_starts(data, at)
+def _cleaned(column: pa.Array, kept: pa.Array) -> Iterator[tuple[int, int, int, bool, str]]:
+    """Row, lines, removed lines, whether it goes altogether, and what remains of the rows that lose lines."""
+    for first, piece in tk.chunks(column):
+        data, row_at = tk.buffers(piece)
+        starts, row_first = line_starts(data, row_at)
         full = np.diff(np.searchsorted(tk.runs(tk.word_mask(data), starts)[0], starts)) > 0
+        own = kept.slice(first, len(piece))
         stay = ~full
-        if keep.is_valid:
-            stay[np.asarray(keep.values)] = True
-        gone = bool(full.any() and not (full & stay).any())
-        if stay.all():
-            yield raw, len(full), 0, gone
-            continue
-        parts = raw.split("\n")
-        yield "\n".join([p for p, k in zip(parts, stay.tolist(), strict=True) if k]), len(full), int((~stay).sum()), gone
+        # null lists have no values, and equal offsets
+        sizes = np.nan_to_num(tk.pc.list_value_length(own).to_numpy(zero_copy_only=False)).astype(np.int64)
+        stay[np.repeat(row_first[:-1], sizes) + np.asarray(own.flatten(), np.int64)] = True
+        lost = tk.row_sums(~stay, row_first)
+        left = tk.row_sums(full & stay, row_first)
+        raw = data.tobytes()
+        for r in np.flatnonzero(lost).tolist():
+            lines = row_first[r] + np.flatnonzero(stay[row_first[r] : row_first[r + 1]])
+            ends = starts[lines + 1] - (lines + 1 < row_first[r + 1])  # without the line feed
+            text = b"\n".join([raw[x:y] for x, y in zip(starts[lines].tolist(), ends.tolist(), strict=True)]).decode()
+            yield first + r, int(row_first[r + 1] - row_first[r]), int(lost[r]), bool(left[r] == 0), text
 
 
 REPORT = "doc_id bigint, n_lines bigint, removed_lines bigint, dropped boolean, clean_text string"
@@ -292,10 +321,9 @@ def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(_cleaned(b.column(1), b.column(2)))
-            lost = np.array([f[2] for f in found], np.int64)
-            hit = np.flatnonzero(lost)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(hit)), pa.array([found[i][1] for i in hit], pa.int64()), pa.array(lost[hit]), pa.array([found[i][3] for i in hit], pa.bool_()), pa.array([found[i][0] for i in hit], pa.string())], ["doc_id", "n_lines", "removed_lines", "dropped", "clean_text"])
+            rows, *rest = list(zip(*found, strict=True)) if (found := list(_cleaned(b.column(1), b.column(2)))) else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(rows, pa.int64())), *(pa.array(v, k) for v, k in zip(rest, kinds, strict=True))], ["doc_id", "n_lines", "removed_lines", "dropped", "clean_text"])
 
     return _with_kept(docs.select("doc_id", "text"), similarity).mapInArrow(made, REPORT)
 
@@ -310,8 +338,10 @@ def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(_cleaned(b.column(at), b.column(len(names))))
-            text = pa.array([f[0] for f in found], b.column(at).type)
-            b = pa.RecordBatch.from_arrays([text if i == at else b.column(i) for i in range(len(names))], names)
-            yield b.filter(pa.array([not f[3] for f in found], pa.bool_()))
+            mask, gone = np.zeros(b.num_rows, np.bool_), np.zeros(b.num_rows, np.bool_)
+            mask[[f[0] for f in found]] = True
+            gone[[f[0] for f in found if f[3]]] = True
+            text = tk.pc.replace_with_mask(b.column(at), pa.array(mask), pa.array([f[4] for f in found], b.column(at).type))
+            yield pa.RecordBatch.from_arrays([text if i == at else b.column(i) for i in range(len(names))], names).filter(pa.array(~gone))
 
     return _with_kept(docs, similarity).mapInArrow(made, docs.schema)

@@ -124,7 +124,8 @@ def grouped(keys: DataFrame, ratio: float, prepare: Callable[[DataFrame], Callab
     """``(node, root)`` of the groups that verified pairs of ``keys(key, id, size)`` connect.
 
     Two ids are candidates if they share a key and the smaller size is ``ratio`` of the larger at
-    least.  ``prepare(ids)`` gives the function that keeps the true ones of ``(a, b)`` pairs.
+    least, and, where there is a column ``spot``, the key's places differ by no more than the sizes may.
+    ``prepare(ids)`` gives the function that keeps the true ones of ``(a, b)`` pairs.
 
     Within one group no pair matters any more.  So each key's ids are first compared with its least
     id, and connected; then, of the keys whose ids aren't in one group yet, all pairs across groups
@@ -132,21 +133,26 @@ def grouped(keys: DataFrame, ratio: float, prepare: Callable[[DataFrame], Callab
     large groups of copies.
     """
     w = Window.partitionBy("key")
-    members = keys.repartition("key").groupBy("key", "id").agg(F.max("size").alias("size"))
-    members = members.select("key", "id", "size", F.min(F.struct("id", "size")).over(w).alias("lead"), F.max("id").over(w).alias("last"))
+    values = [c for c in ("size", "spot") if c in keys.columns]
+    members = keys.repartition("key").groupBy("key", "id").agg(*(F.max(c).alias(c) if c == "size" else F.min(c).alias(c) for c in values))
+    members = members.select("key", "id", *values, F.min(F.struct("id", *values)).over(w).alias("lead"), F.max("id").over(w).alias("last"))
     members = written(members.where("lead.id <> last").drop("last"))
     verify = prepare(members.select("id").distinct())
 
-    def near(a: str, b: str) -> Column:
-        return F.least(a, b) >= F.greatest(a, b) * F.lit(ratio)
+    def near(before: str, after: str) -> Column:
+        sizes, spots = ([f"{before}{c}{after}", c] for c in ("size", "spot"))
+        alike = F.least(*sizes) >= F.greatest(*sizes) * F.lit(ratio)
+        if "spot" in values:
+            alike &= F.abs(F.col(spots[0]) - F.col(spots[1])) <= F.greatest(*sizes) * F.lit(1 - ratio) + 1
+        return alike
 
-    first = members.where(F.col("id") != F.col("lead.id")).where(near("size", "lead.size"))
+    first = members.where(F.col("id") != F.col("lead.id")).where(near("lead.", ""))
     edges = written(verify(first.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()))
     groups = connected(edges)
-    placed = members.join(groups, members.id == groups.node, "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"), (F.col("id") == F.col("lead.id")).alias("led"))
-    mixed = placed.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low <> high AND NOT led").select("key", "id", "size", "root")
-    other = mixed.select("key", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-    across = mixed.join(other, "key").where("root < root2").where(near("size", "size2"))
+    placed = members.join(groups, members.id == groups.node, "left").select("key", "id", *values, F.coalesce("root", "id").alias("root"), (F.col("id") == F.col("lead.id")).alias("led"))
+    mixed = placed.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low <> high AND NOT led").select("key", "id", *values, "root")
+    other = mixed.select("key", F.col("id").alias("id2"), *(F.col(c).alias(f"{c}2") for c in values), F.col("root").alias("root2"))
+    across = mixed.join(other, "key").where("root < root2").where(near("", "2"))
     more = written(verify(across.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()))
     if more.isEmpty():
         return groups

@@ -10,8 +10,15 @@ fingerprint.  Short words would outvote the others in a SimHash, and make lines
 classes as they are, and by the pigeonhole principle few changes leave some block equal.  A block
 of few letters says little; it is joined with the next classes' until it holds ``LETTERS``.  That
 leaves lines of few words few blocks, so lines of ``FEW`` words at most also have a key for every word
-left out, of the other words in their places, if these hold ``FEW_LETTERS``.  Lines
-that share a block are candidates; the edit distance of every such pair decides (see
+left out, of the other words in their places, if these hold ``FEW_LETTERS``.
+
+The edits that ``SIMILARITY`` allows grow with a line, and soon reach every class.  So every line also
+has keys of its pieces, runs of words of ``LETTERS`` letters: those of the ``PIECES`` least hashes, which
+are the same in lines that share most pieces, however long they are.  Lines of more than ``FEW`` words
+have these keys alone.  A piece lies at nearly the same place of similar lines; two lines in which it
+doesn't aren't candidates by it.
+
+Lines that share a key are candidates; the edit distance of every such pair decides (see
 :func:`siftline.llm.cluster.grouped` for the pairs within a group that needn't be looked at).
 
 Equal lines are told by a 64-bit hash of their words.
@@ -35,6 +42,8 @@ LETTERS = 12
 TELLING = 5
 FEW = 16
 FEW_LETTERS = 6
+#: Pieces of each line that are keys.
+PIECES = 24
 #: Classes of trigrams by which pairs are refused before their edit distance is computed.
 PROFILE_BITS = 10
 PROFILE = 1 << PROFILE_BITS
@@ -115,22 +124,51 @@ def left_out(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, most: int
     return line[enough], keys[enough]
 
 
-def keys_of(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and key, in order of lines, of all distinct keys."""
+def pieces(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, most: int = PIECES, least: int = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, keys and first words of the pieces with the ``most`` least hashes of each line.
+
+    A piece begins at any word and goes on until it holds ``least`` letters; one that the line's end
+    cuts short is none.
+    """
+    up, down = tk.powers(len(hashes) + 1)
+    sums, held = np.zeros(len(hashes) + 1, U64), np.concatenate(([0], np.cumsum(letters)))
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    line = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    end = np.searchsorted(held, held[:-1] + least)
+    start = np.flatnonzero(end <= at[1:][line])
+    line, end = line[start], end[start]
+    key = tk.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+    order = np.lexsort((key, line))
+    line, key, start = line[order], key[order], start[order]
+    new = np.ones(len(key), np.bool_)
+    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+    line, key, start = line[new], key[new], start[new]
+    few = np.arange(len(line)) - np.searchsorted(line, line) < most
+    return line[few], key[few], start[few]
+
+
+def keys_of(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key and place, in order of lines, of all distinct keys; ``spots``: the words' places.
+
+    Keys of whole lines have place 0.
+    """
     tell = letters >= TELLING
     use = np.flatnonzero(tell | np.repeat(tk.row_sums(tell, at) == 0, np.diff(at)))
     made = blocks(hashes[use], letters[use], np.searchsorted(use, at))
     made.sort(axis=1)
-    new = np.diff(at)[:, None] > np.zeros(made.shape[1], np.int64)
+    size = np.diff(at)[:, None]
+    new = (size > 0) & (size <= FEW) & np.ones(made.shape[1], np.bool_)
     new[:, 1:] &= made[:, 1:] != made[:, :-1]
     line, key = left_out(hashes, letters, at)
-    lines, keys = np.concatenate([np.nonzero(new)[0], line]), np.concatenate([made[new], key])
+    more, piece, start = pieces(hashes, letters, at)
+    lines, keys = np.concatenate([np.nonzero(new)[0], line, more]), np.concatenate([made[new], key, piece])
+    places = np.concatenate([np.zeros(len(lines) - len(more), np.int64), spots[start]])
     order = np.argsort(lines, kind="stable")
-    return lines[order], keys[order]
+    return lines[order], keys[order], places[order]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, rid, line, h, size, keys)`` of every line with words; equal lines of a batch have keys once."""
+    """``(doc_id, rid, line, h, size, keys, spots)`` of every line with words; equal lines of a batch have keys once."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,13 +189,16 @@ def _lines(docs: DataFrame) -> DataFrame:
                 _, once = np.unique(h[full], return_index=True)
                 seen = np.zeros(len(at) - 1, np.bool_)
                 seen[full[once]] = True
-                line, keys = keys_of(hashes, letters, at)
-                line, keys = line[seen[line]], keys[seen[line]]
+                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                # gaps between words count as one character, as in the normalised line
+                inner = np.concatenate(([0], np.cumsum(chars[e] - chars[s] + 1)))
+                line, keys, spots = keys_of(hashes, letters, at, inner[:-1] - np.repeat(inner[at[:-1]], np.diff(at)))
+                line, keys, spots = line[seen[line]], keys[seen[line]], spots[seen[line]]
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(at) - 1)[full]))).astype(np.int32)
                 take = pa.array(first + rows[full])
-                yield pa.RecordBatch.from_arrays([ids.take(take), rids.take(take), pa.array(number[full].astype(np.int32)), pa.array(h[full].view(np.int64)), pa.array(size[full].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))], ["doc_id", "rid", "line", "h", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.take(take), rids.take(take), pa.array(number[full].astype(np.int32)), pa.array(h[full].view(np.int64)), pa.array(size[full].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(spots.astype(np.int32)))], ["doc_id", "rid", "line", "h", "size", "keys", "spots"])
 
-    return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(made, "doc_id bigint, rid bigint, line int, h bigint, size int, keys array<bigint>")
+    return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(made, "doc_id bigint, rid bigint, line int, h bigint, size int, keys array<bigint>, spots array<int>")
 
 
 def _fetched(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -273,7 +314,7 @@ def _verifier(docs: DataFrame, lines: DataFrame, similarity: float) -> Callable[
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(rid, lines)``: of each row that keeps lines with words, these lines' numbers."""
     lines = cluster.written(_lines(docs))
-    keys = lines.select(F.explode("keys").alias("key"), F.col("h").alias("id"), "size")
+    keys = lines.select(F.explode(F.arrays_zip("keys", "spots")).alias("k"), F.col("h").alias("id"), "size").select(F.col("k.keys").alias("key"), "id", "size", F.col("k.spots").alias("spot"))
     groups = cluster.grouped(keys, similarity, _verifier(docs, lines, similarity))
     placed = lines.join(groups, lines.h == groups.node, "left").select(F.coalesce("root", "h").alias("g"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "line").alias("p"))
     kept = placed.groupBy("g").agg(F.min("p").alias("p"))

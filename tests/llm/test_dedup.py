@@ -158,3 +158,29 @@ def test_repeated_passages(spark):
     assert sum(map(len, got.values())) >= 0.97 * sum(map(len, true.values()))
     lost, want = sum(r.copied_words for r in out.values()), sum(map(len, copies.values()))
     assert 0.9 * want <= lost <= 1.02 * want
+
+
+def _misspelt(line, share):
+    letters = list(line)
+    at = rng.choice([i for i, c in enumerate(letters) if c != " "], int(share * len(line)), replace=False)
+    for i in at:
+        letters[i] = "abcdefghiklmnoprstu"[(("abcdefghiklmnoprstu".index(letters[i])) + 1 + int(rng.integers(18))) % 19]
+    return "".join(letters)
+
+
+@pytest.mark.parametrize(("words", "share", "least"), [(12, 0.04, 0.97), (25, 0.06, 0.97), (50, 0.04, 0.99), (50, 0.08, 0.95), (100, 0.08, 0.95), (300, 0.08, 0.95), (300, 0.095, 0.9)])
+def test_edited_lines_meet(words, share, least):
+    lines = [" ".join(_text(words)) for _ in range(200)]
+    found = []
+    for texts in (lines, [_misspelt(x, share) for x in lines]):
+        w = tk.words(pa.array(texts))
+        line, key, _ = line_dedup.keys_of(w.hashes, w.ends - w.starts, w.at, w.starts - np.repeat(w.row_at[:-1], np.diff(w.at)))
+        found.append(set(zip(line.tolist(), key.tolist(), strict=True)))
+    assert len({i for i, _ in found[0] & found[1]}) >= least * len(lines)
+
+
+def test_edited_long_lines(spark):
+    lines = [" ".join(_text(int(n))) for n in rng.integers(30, 200, 40)]
+    texts = [x for line in lines for x in (line, _misspelt(line, 0.07))]
+    out = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out <= set(range(1, 80, 2)) and len(out) >= 38

@@ -18,6 +18,12 @@ are the same in lines that share most pieces, however long they are.  Lines of m
 have these keys alone.  A piece lies at nearly the same place of similar lines; two lines in which it
 doesn't aren't candidates by it.
 
+Lines of ``SHORT`` words at most, among them clauses written without spaces, are keyed by their
+characters as well.  Where one edit is allowed, below 20 characters, all characters but one are a key,
+whichever it is.  Beyond, a line that allows k edits has k + 1 parts between them, one of which holds
+``RUN`` characters at least, so its runs of ``RUN`` are keys, and of a long line ``RUNS`` of them: k edits
+leave 4 of 10 runs as they are.
+
 Lines that share a key are candidates; the edit distance of every such pair decides (see
 :func:`siftline.llm.cluster.grouped` for the pairs within a group that needn't be looked at).
 
@@ -27,6 +33,7 @@ Equal lines are told by a 64-bit hash of their words.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,11 @@ FEW = 16
 FEW_LETTERS = 6
 #: Pieces of each line that are keys.
 PIECES = 24
+#: Words of the lines that are keyed by their characters, at most.
+SHORT = 3
+#: Characters of a run, and runs of a line that are keys.
+RUN = 6
+RUNS = 64
 #: Classes of trigrams by which pairs are refused before their edit distance is computed.
 PROFILE_BITS = 10
 PROFILE = 1 << PROFILE_BITS
@@ -147,6 +159,28 @@ def pieces(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, most: int =
     return line[few], key[few], start[few]
 
 
+def short_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key and place of the characters' keys of normalised lines.
+
+    Lines of less than 9 characters have none: no edit is allowed in 9, and 10 may lose one.
+    """
+    out: list[tuple[int, int, int]] = []
+    for n, line in enumerate(lines):
+        own = {}
+        if 18 <= len(line):  # 18 may come of 20, of which two are edited
+            own = {_number(line[i : i + RUN]): i for i in reversed(range(len(line) - RUN + 1))}
+            own = {key: own[key] for key in sorted(own)[:RUNS]}
+        if 9 <= len(line) < 20:
+            own |= {_number(part): 0 for part in (line, *(line[:i] + line[i + 1 :] for i in range(len(line))))}
+        out += [(n, key, place) for key, place in own.items()]
+    line, key, place = zip(*out, strict=True) if out else ((), (), ())
+    return np.array(line, np.int64), np.array(key, U64), np.array(place, np.int64)
+
+
+def _number(part: str) -> int:
+    return int.from_bytes(blake2b(part.encode(), digest_size=8).digest(), "little")
+
+
 def keys_of(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line, key and place, in order of lines, of all distinct keys; ``spots``: the words' places.
 
@@ -194,6 +228,12 @@ def _lines(docs: DataFrame) -> DataFrame:
                 inner = np.concatenate(([0], np.cumsum(chars[e] - chars[s] + 1)))
                 line, keys, spots = keys_of(hashes, letters, at, inner[:-1] - np.repeat(inner[at[:-1]], np.diff(at)))
                 line, keys, spots = line[seen[line]], keys[seen[line]], spots[seen[line]]
+                short = np.flatnonzero(seen & (np.diff(at) <= SHORT))
+                raw = data.tobytes()
+                more = short_keys([b" ".join([raw[x:y] for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)]).decode() for i, j in zip(at[short].tolist(), at[short + 1].tolist(), strict=True)])
+                line, keys, spots = (np.concatenate(v) for v in ((line, short[more[0]]), (keys, more[1]), (spots, more[2])))
+                order = np.argsort(line, kind="stable")
+                line, keys, spots = line[order], keys[order], spots[order]
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(at) - 1)[full]))).astype(np.int32)
                 take = pa.array(first + rows[full])
                 yield pa.RecordBatch.from_arrays([ids.take(take), rids.take(take), pa.array(number[full].astype(np.int32)), pa.array(h[full].view(np.int64)), pa.array(size[full].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(spots.astype(np.int32)))], ["doc_id", "rid", "line", "h", "size", "keys", "spots"])

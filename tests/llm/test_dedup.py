@@ -184,3 +184,18 @@ def test_edited_long_lines(spark):
     texts = [x for line in lines for x in (line, _misspelt(line, 0.07))]
     out = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out <= set(range(1, 80, 2)) and len(out) >= 38
+
+
+def test_edited_lines_of_few_words(spark):
+    def spoilt(line, edits):
+        for at in np.linspace(0, len(line) - 1, edits + 2)[1:-1].round().astype(int).tolist():
+            line = line[:at] + "q" + line[at + 1 :]
+        return line
+
+    words = lambda *sizes: " ".join("".join(rng.choice(list("abcdefghiklmnoprstu"), n)) for n in sizes)
+    chinese = lambda n: "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, n))
+    lines = [words(n) for n in range(10, 40)] + [words(3, n) for n in range(7, 30)] + [words(4, 3, n) for n in range(5, 30)] + [chinese(n) for n in range(10, 60)] + [chinese(500), words(900)]
+    texts = [x for line in lines for x in (line, spoilt(line, len(line) // 10))]
+    texts += ["kleinigkeiten", "kleinigkeitn"]
+    out = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == set(range(1, len(texts), 2))

@@ -4,9 +4,11 @@ A partial partition is a sum of bytes for each of the shards.  Two partial parti
 adding the largest sum of the one to the smallest of the other, and so on.  The two with the
 largest spread are combined, again and again, until one is left.
 
-Groups are dealt by hash into cells of about ``CELL_GROUPS``; each cell is differenced by one task
-and leaves one partial partition, which is just what the method combines, so the driver goes on
-with the cells' partial partitions, ``shards`` numbers each.
+The driver differences single groups up to ``CELL_GROUPS``.  More groups are dealt by hash into cells
+of about that many, and one task packs each cell's groups into bundles, which the driver differences
+as it does groups.  A large group is a bundle alone, whatever its cell, and nothing is levelled before
+all large ones are known, so that all else can make up for them.  A cell's small groups make bundles
+that get smaller to the end, down to single groups, so that the last ones even out what is left.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from siftline.llm import cluster
 
 SHARDS = 16
 CELL_GROUPS = 50_000
-#: Sums that a cell holds at first, at most: its groups times the shards.
+#: Sums that the driver holds at first: its groups or bundles times the shards, about.
 CELL_NUMBERS = 10_000_000
+#: Bundles of a cell for each shard, about.
+CELL_BUNDLES = 8
 
 
 def difference(partials: np.ndarray) -> np.ndarray:
@@ -80,6 +84,25 @@ def balance(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return shard, np.bincount(shard, sizes, shards).astype(np.int64)
 
 
+def bundles(sizes: np.ndarray, most: float) -> np.ndarray:
+    """The bundle of each size, numbered from 0; ``sizes`` go down.
+
+    A bundle grows up to ``most``, or to a quarter of what is left with it; one that is larger by itself
+    is alone.  With ``most`` 0 each is alone.
+    """
+    out = np.arange(len(sizes))
+    if most <= 0:
+        return out
+    done = np.concatenate(([0], np.cumsum(sizes)))
+    first = number = 0
+    while first < len(sizes):
+        room = min(most, (done[-1] - done[first]) / 4)
+        last = max(first + 1, int(np.searchsorted(done, done[first] + room, "right")) - 1)
+        out[first:last] = number
+        first, number = last, number + 1
+    return out
+
+
 def text_group() -> Column:
     """The production groups: documents of one text, so that copies never part."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -95,23 +118,26 @@ def assign(docs: DataFrame, shards: int = SHARDS, group: Column | None = None, c
     key = text_group() if group is None else F.xxhash64(group, group.isNull())
     rows = docs.select("doc_id", key.alias("g"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     groups = cluster.written(rows.groupBy("g").agg(F.sum("n_bytes").alias("size")))
-    cells = max(1, math.ceil(groups.count() / min(cell_groups, max(1, CELL_NUMBERS // shards))))
+    count, total = groups.agg(F.count("*"), F.sum("size")).first()
+    cells = max(1, math.ceil(count / min(cell_groups, max(1, CELL_NUMBERS // shards))))
     cell = F.pmod(F.hash("g"), F.lit(cells))
+    most = (total or 0) / min(CELL_BUNDLES * cells * shards, max(1, CELL_NUMBERS // shards)) if cells > 1 else 0.0
 
     def placed(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("g", ignore_index=True)
-        place, _ = balance(table["size"].to_numpy(), shards)
-        return pd.DataFrame({"g": table["g"], "cell": table["cell"], "size": table["size"], "place": place.astype(np.int32)})
+        table = table.sort_values(["size", "g"], ascending=[False, True], ignore_index=True)
+        return pd.DataFrame({"g": table["g"], "cell": table["cell"], "size": table["size"], "bundle": bundles(table["size"].to_numpy(), most).astype(np.int32)})
 
-    local = cluster.written(groups.withColumn("cell", cell).groupBy("cell").applyInPandas(placed, "g bigint, cell int, size bigint, place int"))
-    sums = local.groupBy("cell", "place").agg(F.sum("size").alias("size")).toArrow()
-    partials = np.zeros((cells, shards), np.int64)
-    partials[sums.column("cell").to_numpy(), sums.column("place").to_numpy()] = sums.column("size").to_numpy()
-    final = difference(partials).astype(np.int32)
+    local = cluster.written(groups.withColumn("cell", cell).groupBy("cell").applyInPandas(placed, "g bigint, cell int, size bigint, bundle int"))
+    sums = local.groupBy("cell", "bundle").agg(F.sum("size").alias("size"), F.min("g").alias("g")).toArrow().sort_by([("cell", "ascending"), ("g", "ascending")])
+    at, bundle = sums.column("cell").to_numpy(), sums.column("bundle").to_numpy()
+    place, _ = balance(sums.column("size").to_numpy(), shards)
+    begin = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=cells))))
+    final = np.zeros(len(at), np.int32)
+    final[begin[at] + bundle] = place
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(final[b.column(1).to_numpy(), b.column(2).to_numpy()])], ["g", "shard"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(final[begin[b.column(1).to_numpy()] + b.column(2).to_numpy()])], ["g", "shard"])
 
-    shard = local.select("g", "cell", "place").mapInArrow(moved, "g bigint, shard int")
+    shard = local.select("g", "cell", "bundle").mapInArrow(moved, "g bigint, shard int")
     return rows.join(shard, "g").select("doc_id", "n_bytes", "shard")

@@ -146,3 +146,15 @@ def test_automaton_lengths():
     found = [n for n, _ in decontaminate.Automaton(items, [99] * 6).matches(doc)]
     inside = {tuple(i[a:b]) for i in items for a in range(len(i)) for b in range(a + 1, len(i) + 1)}
     assert found == [max((n for n in range(1, 13) if tuple(doc[e + 1 - n : e + 1]) in inside and n <= e + 1), default=0) for e in range(len(doc))]
+
+
+def test_shards_with_a_hot_text(spark):
+    rng = random.Random(9)
+    texts = [f"{i} " + "x" * int(rng.lognormvariate(4, 1)) for i in range(3200)]
+    texts += ["hot " * 10] * (sum(map(len, texts)) // 18 // 40)  # nearly a shard's mean
+    out = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16, cell_groups=400).collect()
+    total, place = [0] * 16, {}
+    for r in out:
+        total[r.shard] += r.n_bytes
+        assert place.setdefault(texts[r.doc_id], r.shard) == r.shard
+    assert len(out) == len(texts) and max(total) - min(total) <= 0.01 * sum(total) / 16

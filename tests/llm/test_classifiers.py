@@ -102,3 +102,10 @@ def test_licence_scan(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     out = {(r.doc_id, r.line): r.family for r in licenses.scan(docs, licenses.train()).collect()}
     assert out == {(0, 1): "apache-2.0", (1, 0): "mit", (2, 0): "cc-by-nc", (3, 0): "unknown", (4, 0): "proprietary", (6, 0): "gpl-3.0"}
+
+
+def test_licence_bodies(spark):
+    lines = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "This is free and unencumbered software released into the public domain.", "Lizenziert unter der Foobar Lizenz, Version 2", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "Available under several licenses, foo and bar.", "You may sublicense this work under these terms.", "permission to use the hall was granted", "and this or that of the town"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    out = {r.doc_id: r.family for r in licenses.scan(docs, licenses.train()).collect()}
+    assert out == {0: "bsd", 1: "unknown", 2: "unknown", 3: "unknown", 4: "mit", 5: "unknown", 6: "unknown"}

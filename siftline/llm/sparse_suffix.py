@@ -4,8 +4,9 @@ Of all suffixes of a text's words only those that begin at minimiser positions a
 the hash of the next ``KEY`` words is the least of ``WINDOW`` neighbouring ones.  Which these are
 depends on the words alone, so two copies of ``WORDS`` = KEY + WINDOW - 1 words or more retain a
 suffix at the same place.  Suffixes whose first words occur once go at once.  The others are
-sorted by their words, then by the words before them; neighbours are compared and a match is extended
-right and left.  A match of ``WORDS`` words or more is a repeated passage; longer passages are unions
+sorted by their words, then by the words before them, and once more the other way round, so that
+copies edited on one side meet by the other; neighbours are compared and a match is extended right and
+left.  A match of ``WORDS`` words or more is a repeated passage; longer passages are unions
 of the matches at their minimisers.
 
 In a run of one repeated n-gram every ``WINDOW``-th position is retained.
@@ -14,6 +15,7 @@ In a run of one repeated n-gram every ``WINDOW``-th position is retained.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +114,8 @@ def _length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _matches(suffixes: DataFrame, words: int) -> DataFrame:
     """``(run, doc_id, rid, start, end)``: passages that sorted neighbours share; a run has one passage's."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 40
+    def made(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+        part = (TaskContext.get().partitionId() * 2 + order) << 40
         run, tail = 0, None
         for b in batches:
             if b.num_rows == 0:
@@ -135,8 +137,10 @@ def _matches(suffixes: DataFrame, words: int) -> DataFrame:
             r, l = np.tile(r[linked], 2), np.tile(l[linked], 2)
             yield pa.RecordBatch.from_arrays([pa.array(part + runs[both]), ids.take(pa.array(both)), pa.array(rid[both]), pa.array((pos[both] - l).astype(np.int32)), pa.array((pos[both] + KEY + r).astype(np.int32))], ["run", "doc_id", "rid", "start", "end"])
 
-    ordered = suffixes.repartition("key").sortWithinPartitions("key", "right", "left", "doc_id", "rid", "pos")
-    return ordered.mapInArrow(made, "run bigint, doc_id bigint, rid bigint, start int, end int")
+    dealt = suffixes.repartition("key")
+    orders = enumerate((("right", "left"), ("left", "right")))
+    by_right, by_left = (dealt.sortWithinPartitions("key", *sides, "doc_id", "rid", "pos").mapInArrow(partial(made, order=n), "run bigint, doc_id bigint, rid bigint, start int, end int") for n, sides in orders)
+    return by_right.union(by_left)
 
 
 def _union(spans: str) -> str:

@@ -199,3 +199,19 @@ def test_edited_lines_of_few_words(spark):
     texts += ["kleinigkeiten", "kleinigkeitn"]
     out = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out == set(range(1, len(texts), 2))
+
+
+def test_repeats_of_edited_copies(spark):
+    texts = [_changed(base, 0.06) for base in (_text(300) for _ in range(3)) for _ in range(120)]
+    n, seen, true = sparse_suffix.WORDS, {}, {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - n + 1):
+            seen.setdefault(tuple(t[i : i + n]), []).append((d, i))
+    for places in seen.values():
+        for d, i in places if len(places) > 1 else []:
+            true.setdefault(d, set()).update(range(i, i + n))
+    out = {r.doc_id: {x for s in r.spans for x in range(s.start, s.end)} for r in sparse_suffix.report(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert all(out[d] <= true.get(d, set()) for d in out)
+    share = sum(map(len, out.values())) / sum(map(len, true.values()))
+    print("\nrecall", share, len(out) / len(true))
+    assert share >= 0.95

@@ -30,19 +30,38 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: Shuffle files of a written table's plan go as soon as it is written, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder, and read again; it is deleted at exit."""
+    """``df`` written as a Parquet table in the shared folder, and read again; it is deleted at exit, if not before.
+
+    The rows are computed once, and their lineage is cut.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/siftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._siftline = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._siftline)
+
+
+def partitions(df: DataFrame) -> int:
+    """The partitions in which ``df`` is read."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -61,15 +80,16 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and Beyond"), each of which is a grouped minimum and a join; converges in O(log^2 n) rounds.
     Null ends and loops count for nothing.
     """
-    e = cut(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = written(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = e.join(least, "u")
-        e = cut(pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = large.join(least, "u")
+        old, e = e, written(pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break
@@ -104,9 +124,7 @@ def position_filter(wanted: DataFrame) -> np.ndarray:
 
     It takes 16 bits a position up to ``FILTER_BITS``; beyond, more others pass, none is lost.
     """
-    bits = 1 << 16
-    while bits < min(FILTER_BITS, 16 * wanted.count()):
-        bits *= 2
+    bits = _bits(wanted)
     at = F.col("rid").bitwiseXOR(F.col("part").cast("long") * PART_FACTOR).bitwiseAND(F.lit(bits - 1))
     made = wanted.select(F.shiftright(at, 6).cast("int").alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
     made = made.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
@@ -115,6 +133,29 @@ def position_filter(wanted: DataFrame) -> np.ndarray:
     return table
 
 
+def split(docs: DataFrame, rid: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose ``rid`` may be among those of ``wanted(rid)``, and the others, which aren't.
+
+    They are told by a bit table, broadcast as rows of 64 bits; beyond ``FILTER_BITS`` more rows are in the first part.
+    """
+    bits = _bits(wanted)
+    at = F.col(rid).bitwiseAND(F.lit(bits - 1))
+    word, bit, table = free(docs, "_word"), free(docs, "_bit"), free(docs, "_set")
+    made = wanted.select(F.col("rid").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    made = made.groupBy(F.shiftright("at", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias(table))
+    marked = docs.withColumn(word, F.shiftright(at, 6)).withColumn(bit, at.bitwiseAND(F.lit(63)).cast("int"))
+    marked = marked.join(F.broadcast(made), word, "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(`{table}`, `{bit}`) & 1L"), F.lit(0)) == 1
+    return marked.where(hit).select(docs.columns), marked.where(~hit).select(docs.columns)
+
+
+def _bits(wanted: DataFrame) -> int:
+    bits, most = 1 << 16, min(FILTER_BITS, 16 * wanted.count())
+    while bits < most:
+        bits *= 2
+    return bits
+
+
 def in_filter(table: np.ndarray, rid: np.ndarray, part: np.ndarray) -> np.ndarray:
     at = (rid ^ (part.astype(np.int64) * PART_FACTOR)) & np.int64(len(table) * 64 - 1)
     return ((table[at >> 6] >> (at & 63)) & 1).astype(np.bool_)

@@ -2,45 +2,47 @@
 
 A line is normalised to its lower-cased words with single spaces.  Lines without words are left
 alone.  Of each group of lines that are equal or chained by an edit similarity of ``SIMILARITY``
-at least, the occurrence with the least (doc_id, line number) stays.
-
-The telling words of a line, of ``TELLING`` bytes at least (all words, if none is), are dealt by hash
-into ``CLASSES`` classes, and each class has its own 64-bit SimHash, one block of the line's
-fingerprint.  Short words would outvote the others in a SimHash, and make lines alike that aren't.  So changed words leave the blocks of the other
-classes as they are, and by the pigeonhole principle few changes leave some block equal.  A block
-of few letters says little; it is joined with the next classes' until it holds ``LETTERS``.  That
-leaves lines of few words few blocks, so lines of ``FEW`` words at most also have a key for every word
-left out, of the other words in their places, if these hold ``FEW_LETTERS``.
-
-The edits that ``SIMILARITY`` allows grow with a line, and soon reach every class.  So every line also
-has keys of its pieces, runs of words of ``LETTERS`` letters: those of the ``PIECES`` least hashes, which
-are the same in lines that share most pieces, however long they are.  Lines of more than ``FEW`` words
-have these keys alone.  A piece lies at nearly the same place of similar lines; two lines in which it
-doesn't aren't candidates by it.
+at least, the occurrence with the least (doc_id, line number) stays.  Equal lines are told by a 64-bit
+hash of their words.
+
+Lines are candidates if they share blocks.  Lines of ``FEW`` words at most have ``CLASSES`` of them: the
+telling words, of ``TELLING`` bytes at least (all words, if none is), are dealt by hash into classes, each
+with its own 64-bit SimHash; short words would outvote the others.  By the pigeonhole principle few changed
+words leave some class as it was.  A class of few letters says little; it is joined with the
+next ones until it holds ``LETTERS``.  These lines also have a key for every word left out, of the other words
+in their places, if these hold ``FEW_LETTERS``, and one for each piece, a run of words of ``LETTERS`` letters.
+
+A tenth of a long line's letters may be edited, and that changes a quarter of the bits of a SimHash of
+it (see the README for figures), too many for blocks of any use.  So lines of more than ``SOME`` words have
+smaller blocks: the telling words in the order of their hashes, each two neighbours of which are a block.
+A changed word breaks three blocks at most, so some stay equal if fewer than a third are changed.  Of more
+than ``PAIRS`` blocks those with the least hashes count, about; the limit depends on the number of
+telling words alone.  Lines of less than ``TOLD`` telling words have pieces as well.  Two lines of many words,
+with ``MANY`` blocks of two words, are candidates if they share two keys at least; other lines, if they share one.
 
 Lines of ``SHORT`` words at most, among them clauses written without spaces, are keyed by their
 characters as well.  Where one edit is allowed, below 20 characters, all characters but one are a key,
 whichever it is.  Beyond, a line that allows k edits has k + 1 parts between them, one of which holds
-``RUN`` characters at least, so its runs of ``RUN`` are keys, and of a long line ``RUNS`` of them: k edits
+``RUN`` characters at least, so its runs of ``RUN`` are keys, and of a long line ``RUNS`` of them, about: k edits
 leave 4 of 10 runs as they are.
 
-Lines that share a key are candidates; the edit distance of every such pair decides (see
-:func:`siftline.llm.cluster.grouped` for the pairs within a group that needn't be looked at).
-
-Equal lines are told by a 64-bit hash of their words.
+Keys go through one shuffle as packed arrays, not as rows, and are sorted in numpy.  A key's lines are
+sorted by size, so that each meets only those of sizes that ``SIMILARITY`` allows, and in which the key's words
+lie where they may after so many edits.  Where these are more than ``NEAR``, a line first meets one of them; what
+isn't in its group after that is compared too, so nothing is lost.  The edit distance of every candidate
+pair decides (:mod:`siftline.llm.edits`), but pairs whose lines are in one group already needn't be looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from hashlib import blake2b
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm import cluster
+from siftline.llm import cluster, edits
 from siftline.llm import textkit as tk
 
 SIMILARITY = 0.9
@@ -49,19 +51,24 @@ LETTERS = 12
 TELLING = 5
 FEW = 16
 FEW_LETTERS = 6
-#: Pieces of each line that are keys.
-PIECES = 24
+#: Lines of more words than this have blocks of two words, of which those are keys that ``PAIRS`` says.
+SOME = 10
+PAIRS = 40
+#: Telling words below which pieces are keys too, about ``PAIRS`` of them.
+TOLD = 12
+#: Blocks of two words from which two lines must share two keys.
+MANY = 28
 #: Words of the lines that are keyed by their characters, at most.
 SHORT = 3
 #: Characters of a run, and runs of a line that are keys.
 RUN = 6
 RUNS = 64
-#: Classes of trigrams by which pairs are refused before their edit distance is computed.
-PROFILE_BITS = 10
-PROFILE = 1 << PROFILE_BITS
-#: Words beyond a difference within which an alignment looks for agreement.
-REACH = 6
-_STEPS = sorted(((a, b) for a in range(REACH + 1) for b in range(REACH + 1) if a + b), key=lambda s: (sum(s), abs(s[0] - s[1])))
+#: Lines of a key that a line meets at once.
+NEAR = 16
+#: Keys that a task sorts at a time.
+FLUSH = 1 << 21
+#: Steps of the logarithm by which sizes are told.
+LOG = 1024
 
 U64 = np.uint64
 
@@ -136,8 +143,13 @@ def left_out(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, most: int
     return line[enough], keys[enough]
 
 
-def pieces(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, most: int = PIECES, least: int = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines, keys and first words of the pieces with the ``most`` least hashes of each line.
+def _below(hashes: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """Which of ``count`` hashes a line has are among about ``most`` of the least; all, if it has no more."""
+    return hashes <= (np.minimum(most / np.maximum(count, 1), 1.0) * (1 << 53)).astype(U64) * U64(1 << 11) - U64(1)
+
+
+def pieces(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, lines: np.ndarray, least: int = LETTERS) -> tuple[np.ndarray, ...]:
+    """Line, key and first word of pieces of the marked lines, about ``PAIRS`` of each.
 
     A piece begins at any word and goes on until it holds ``least`` letters; one that the line's end
     cuts short is none.
@@ -145,18 +157,33 @@ def pieces(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, most: int =
     up, down = tk.powers(len(hashes) + 1)
     sums, held = np.zeros(len(hashes) + 1, U64), np.concatenate(([0], np.cumsum(letters)))
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    line = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    end = np.searchsorted(held, held[:-1] + least)
-    start = np.flatnonzero(end <= at[1:][line])
-    line, end = line[start], end[start]
+    size = np.diff(at)
+    line = np.repeat(np.flatnonzero(lines), size[lines])
+    start = np.flatnonzero(np.repeat(lines, size))
+    end = np.searchsorted(held, held[start] + least)
+    whole = end <= at[1:][line]
+    line, start, end = line[whole], start[whole], end[whole]
     key = tk.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
-    order = np.lexsort((key, line))
-    line, key, start = line[order], key[order], start[order]
-    new = np.ones(len(key), np.bool_)
-    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    line, key, start = line[new], key[new], start[new]
-    few = np.arange(len(line)) - np.searchsorted(line, line) < most
-    return line[few], key[few], start[few]
+    use = _below(key, size[line], PAIRS)
+    return line[use], key[use], start[use]
+
+
+def pairs(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, least: int = SOME) -> tuple[np.ndarray, ...]:
+    """Line, key and both words of the blocks of two words of lines of more than ``least``; and each line's telling words."""
+    size = np.diff(at)
+    use = np.flatnonzero((letters >= TELLING) & np.repeat(size > least, size))
+    line = np.repeat(np.arange(len(size)), size)[use]
+    order = np.argsort((line.astype(U64) << U64(40)) | (hashes[use] >> U64(24)), kind="stable")
+    line, word = line[order], use[order]
+    new = np.ones(len(line), np.bool_)
+    new[1:] = (line[1:] != line[:-1]) | (hashes[word[1:]] != hashes[word[:-1]])
+    line, word = line[new], word[new]
+    told = np.bincount(line, minlength=len(size))
+    at_ = np.flatnonzero(line[1:] == line[:-1])
+    first, second = word[at_], word[at_ + 1]
+    key = tk.mix(tk.mix(hashes[first]) + hashes[second] + (first < second).astype(U64))
+    few = _below(key, told[line[at_]], PAIRS)
+    return line[at_][few], key[few], first[few], second[few], told
 
 
 def short_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,85 +191,377 @@ def short_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Lines of less than 9 characters have none: no edit is allowed in 9, and 10 may lose one.
     """
-    out: list[tuple[int, int, int]] = []
-    for n, line in enumerate(lines):
-        own = {}
-        if 18 <= len(line):  # 18 may come of 20, of which two are edited
-            own = {_number(line[i : i + RUN]): i for i in reversed(range(len(line) - RUN + 1))}
-            own = {key: own[key] for key in sorted(own)[:RUNS]}
-        if 9 <= len(line) < 20:
-            own |= {_number(part): 0 for part in (line, *(line[:i] + line[i + 1 :] for i in range(len(line))))}
-        out += [(n, key, place) for key, place in own.items()]
-    line, key, place = zip(*out, strict=True) if out else ((), (), ())
-    return np.array(line, np.int64), np.array(key, U64), np.array(place, np.int64)
-
-
-def _number(part: str) -> int:
-    return int.from_bytes(blake2b(part.encode(), digest_size=8).digest(), "little")
-
-
-def keys_of(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, key and place, in order of lines, of all distinct keys; ``spots``: the words' places.
-
-    Keys of whole lines have place 0.
+    data, at = tk.buffers(pa.array(lines, pa.string()))
+    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first = np.searchsorted(chars, at)
+    size = np.diff(first)
+    line = np.repeat(np.arange(len(lines)), size)
+    place = np.arange(len(line)) - first[:-1][line]
+    # 18 may come of 20, of which two are edited
+    run = np.flatnonzero((size[line] >= 18) & (place <= size[line] - RUN))
+    key = tk.span_hashes(data, chars[run], chars[run + RUN])
+    use = _below(key, size[line[run]] - RUN + 1, RUNS)
+    run, key = run[use], key[use]
+    small = np.flatnonzero((size >= 9) & (size < 20))
+    whole = tk.span_hashes(data, at[small], at[small + 1])
+    one = np.flatnonzero((size[line] >= 9) & (size[line] < 20))
+    start, end, here, after = at[line[one]], at[line[one] + 1], chars[one], chars[one + 1]
+    left = tk.joined_hashes(data, start, here, after, end)
+    none = np.zeros(len(small) + len(one), np.int64)
+    return np.concatenate((line[run], small, line[one])), np.concatenate((key, whole, left)), np.concatenate((place[run], none))
+
+
+def keys_of(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Line, key, and places of a first and a second word of all keys; and which lines must share two.
+
+    ``spots``: the words' places.  Keys of whole lines have place 0.
     """
+    size = np.diff(at)
     tell = letters >= TELLING
-    use = np.flatnonzero(tell | np.repeat(tk.row_sums(tell, at) == 0, np.diff(at)))
+    use = np.flatnonzero((tell | np.repeat(tk.row_sums(tell, at) == 0, size)) & np.repeat(size <= FEW, size))
     made = blocks(hashes[use], letters[use], np.searchsorted(use, at))
     made.sort(axis=1)
-    size = np.diff(at)[:, None]
-    new = (size > 0) & (size <= FEW) & np.ones(made.shape[1], np.bool_)
+    new = ((size > 0) & (size <= FEW))[:, None] & np.ones(made.shape[1], np.bool_)
     new[:, 1:] &= made[:, 1:] != made[:, :-1]
-    line, key = left_out(hashes, letters, at)
-    more, piece, start = pieces(hashes, letters, at)
-    lines, keys = np.concatenate([np.nonzero(new)[0], line, more]), np.concatenate([made[new], key, piece])
-    places = np.concatenate([np.zeros(len(lines) - len(more), np.int64), spots[start]])
-    order = np.argsort(lines, kind="stable")
-    return lines[order], keys[order], places[order]
+    some, left = left_out(hashes, letters, at)
+    two, block, first, second, told = pairs(hashes, letters, at)
+    more, piece, start = pieces(hashes, letters, at, (size <= FEW) | (told < TOLD))
+    line, key = np.concatenate([np.nonzero(new)[0], some, two, more]), np.concatenate([made[new], left, block, piece])
+    none = np.zeros(len(line) - len(two) - len(more), np.int64)
+    many = (size > FEW) & (np.bincount(two, minlength=len(size)) >= MANY)
+    return line, key, np.concatenate([none, spots[first], spots[start]]), np.concatenate([none, spots[second], spots[start]]), many
+
+
+def _unit(code: np.ndarray) -> np.ndarray:
+    """Characters by which places in a line of this size are told, so that they fit in a byte."""
+    return 1 << np.maximum(np.floor(code / LOG / np.log(2)).astype(np.int64) - 7, 0)
+
+
+FOUND = "kind int, part int, blob binary, x bigint, y bigint, z bigint, n int"
+#: Kinds of rows: first occurrences, later ones, keys or pairs in blobs, and keys whose lines are many.
+FIRST, LATER, BLOB, DENSE = range(4)
+_LINE = ["u8", "i8", "i8", "i4", "u1"]
+_KEY = [*["u1"] * 6, "u8", "u2", "u1", "u1"]
+_PAIR = ["u8", "u8", "u1", "u1"]
+
+
+def _rows(kind: int, size: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Rows of ``FOUND``; columns that aren't given are null."""
+    kinds = {"part": pa.int32(), "blob": pa.binary(), "x": pa.int64(), "y": pa.int64(), "z": pa.int64(), "n": pa.int32()}
+
+    def column(name: str) -> pa.Array:
+        v = columns.get(name)
+        if v is None:
+            return pa.nulls(size, kinds[name])
+        if isinstance(v, np.ndarray) and v.dtype == U64:
+            v = v.view(np.int64)
+        return v if isinstance(v, pa.Array) else pa.array(v).cast(kinds[name])
+
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *map(column, kinds)], ["kind", *kinds])
+
+
+def _dealt(kind: int, key: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The records as a blob for each part of the keys' range; ``kind`` tells what the blobs hold."""
+    order = np.argsort(key)
+    part = ((key[order] >> U64(32)) * U64(parts)) >> U64(32)
+    edge = np.searchsorted(part, np.arange(parts + 1))
+    columns = [c[order] for c in columns]
+    full = np.flatnonzero(edge[1:] > edge[:-1])
+    blobs = [b"".join([c[edge[i] : edge[i + 1]].tobytes() for c in columns]) for i in full.tolist()]
+    if blobs:
+        yield _rows(BLOB, len(full), part=full, blob=pa.array(blobs, pa.binary()), n=np.full(len(full), kind))
+
+
+def _gathered(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
+    """The columns of all blobs."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    found: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for blob in blobs:
+        n, at = len(blob) // sum(sizes), 0
+        for own, kind, size in zip(found, kinds, sizes, strict=True):
+            own.append(np.frombuffer(blob, kind, n, at))
+            at += n * size
+    return [np.concatenate(f) for f in found]
+
+
+def _analysed(ids: pa.Array, rids: np.ndarray, texts: pa.Array) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """The line records and the key records of pieces of a batch."""
+    none = np.asarray(ids.is_null())
+    docs = tk.pc.fill_null(ids, 0).to_numpy()
+    for start, piece in tk.chunks(texts):
+        piece = tk.pc.utf8_lower(piece)
+        data, row_at = tk.buffers(piece)
+        starts, row_first = line_starts(data, row_at)
+        s, e = tk.runs(tk.word_mask(data), starts)
+        at = np.searchsorted(s, starts)
+        hashes = tk.span_hashes(data, s, e)
+        h = sequence_hashes(hashes, at)
+        rows = np.repeat(np.arange(len(piece)), np.diff(row_first))
+        number = (np.arange(len(rows)) - row_first[rows]).astype(np.int32)
+        full = np.flatnonzero(np.diff(at) > 0)
+        row = start + rows[full]
+        yield [h[full], docs[row], rids[row], number[full], none[row].view(np.uint8)], []
+        once = np.zeros(len(at) - 1, np.bool_)
+        once[full[np.unique(h[full], return_index=True)[1]]] = True
+        words = np.repeat(once, np.diff(at))
+        s, e, hashes, h, lines = s[words], e[words], hashes[words], h[once], np.flatnonzero(once)
+        at = np.concatenate(([0], np.cumsum(np.diff(at)[once])))
+        # places in the normalised line, where one character lies between words
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        inner = np.concatenate(([0], np.cumsum(chars[e] - chars[s] + 1)))
+        size = inner[at[1:]] - inner[at[:-1]] - 1
+        line, key, p, q, many = keys_of(hashes, e - s, at, inner[:-1] - np.repeat(inner[at[:-1]], np.diff(at)))
+        short = np.flatnonzero(np.diff(at) <= SHORT)
+        if len(short):
+            raw = data.tobytes()
+            spans = [zip(s[i:j].tolist(), e[i:j].tolist(), strict=True) for i, j in zip(at[short].tolist(), at[short + 1].tolist(), strict=True)]
+            few, more, place = short_keys([b" ".join([raw[x:y] for x, y in own]).decode() for own in spans])
+            line, key, p, q = (np.concatenate(v) for v in ((line, short[few]), (key, more), (p, place), (q, place)))
+        code = np.rint(np.log(np.maximum(size, 1)) * LOG).astype(np.int64)
+        unit = _unit(code)[line]
+        p, q = (np.minimum(v // unit, 255).astype(np.uint8) for v in (p, q))
+        yield [], [key, h[line], (code + (many.astype(np.int64) << 15)).astype(np.uint16)[line], p, q]
+
+
+def _local(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of line records: the first occurrence of each hash, and all others that aren't at the same place."""
+    h, doc, rid, number, none = lines
+    order = np.lexsort((number, rid, doc, none, h))
+    new = np.ones(len(order), np.bool_)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    first = order[new]
+    own = first[np.cumsum(new) - 1] if len(order) else order
+    apart = (rid[order] != rid[own]) | (number[order] != number[own])
+    return first, order[apart]
+
+
+def _scattered(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows of ``FOUND``: later occurrences of a task's lines, and blobs of first occurrences and of keys."""
+
+    def flushed(lines: list[list[np.ndarray]], keys: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if lines:
+            own = [np.concatenate(c) for c in zip(*lines, strict=True)]
+            first, later = _local(own)
+            yield _rows(LATER, len(later), part=(own[2][later] & 0x7FFF).astype(np.int32), y=own[2][later], n=own[3][later])
+            yield from _dealt(FIRST, own[0][first], parts, [c[first] for c in own])
+        if keys:
+            key, h, code, p, q = (np.concatenate(c) for c in zip(*keys, strict=True))
+            tops = key.astype(">u8").view(np.uint8).reshape(-1, 8)
+            yield from _dealt(DENSE, key, parts, [*(tops[:, i] for i in range(6)), h, code, p, q])
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: list[list[np.ndarray]] = []
+        keys: list[list[np.ndarray]] = []
+        held = 0
+        for b in batches:
+            for line, key in _analysed(b.column(0).cast(pa.int64()), b.column(1).to_numpy(), b.column(2)):
+                lines += [line] if line else []
+                keys += [key] if key else []
+                held += len(key[0]) if key else 0
+                if held > FLUSH:
+                    yield from flushed(lines, keys)
+                    lines, keys, held = [], [], 0
+        yield from flushed(lines, keys)
+
+    return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(made, FOUND)
+
+
+def _near(i: np.ndarray, j: np.ndarray, code: np.ndarray, p: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the key's words lie near enough in lines i and j, of which j is the longer."""
+    big = np.exp(code[j] / LOG) * 1.001
+    unit = _unit(code)
+    far = big * (1 - similarity) + 2 + np.maximum(unit[i], unit[j])
+    return (np.abs(p[i] * unit[i] - p[j] * unit[j]) <= far) & (np.abs(q[i] * unit[i] - q[j] * unit[j]) <= far)
+
+
+def _together(key: np.ndarray, ids: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The order of keys, sizes and ids, without repeats and without keys of one line."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    same = np.zeros(len(key) + 1, np.bool_)
+    same[1:-1] = sorted_[1:] == sorted_[:-1]
+    order = order[same[1:] | same[:-1]]
+    order = order[np.lexsort((ids[order], code[order], key[order]))]
+    if len(order) == 0:
+        return order
+    new = np.ones(len(order), np.bool_)
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])
+    order = order[new]
+    same = np.zeros(len(order) + 1, np.bool_)
+    same[1:-1] = key[order[1:]] == key[order[:-1]]
+    return order[same[1:] | same[:-1]]
+
+
+def _group(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of sorted keys is a new one, and the number of it."""
+    new = np.ones(len(key), np.bool_)
+    new[1:] = key[1:] != key[:-1]
+    return new, np.cumsum(new) - 1
+
+
+def _met(key: np.ndarray, ids: np.ndarray, code: np.ndarray, p: np.ndarray, q: np.ndarray, many: np.ndarray, similarity: float, near: int):
+    """Pairs of lines that meet by a key, as indexes, and which lines belong to keys with more to compare."""
+    window = int(np.ceil(-np.log(similarity) * LOG)) + 1
+    new, group = _group(key)
+    sized = group * (1 << 16) + code
+    low = np.searchsorted(sized, group * (1 << 16) + np.maximum(code - window, 0))
+    n = np.arange(len(key))
+    before = n - low
+    dense = before > near
+    left, right = [], []
+    for d in range(1, near + 1):
+        j = np.flatnonzero((before >= d) & ~dense)
+        if len(j) == 0:
+            break
+        left.append(j - d)
+        right.append(j)
+    more = np.zeros(len(key) + 1, np.int64)
+    if dense.any():
+        np.add.at(more, low[dense], 1)
+        np.add.at(more, n[dense] + 1, -1)
+        # each meets the least line of its sizes and that of the sizes before
+        band = group * (1 << 16) + code // window
+        start = np.flatnonzero(_group(band)[0])
+        of = _group(band)[1]
+        least = np.minimum.reduceat(ids, start)
+        lead = np.flatnonzero(ids == least[of])  # one of each band, since a key's lines differ
+        j = n[dense]
+        for back in (0, 1):
+            i = lead[np.maximum(of[j] - back, 0)]
+            fit = (group[i] == group[j]) & (i != j) & (np.maximum(i, j) - np.minimum(i, j) > 0) & (sized[i] + window >= sized[j])
+            left.append(np.minimum(i, j)[fit])
+            right.append(np.maximum(i, j)[fit])
+    i, j = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (left, right))
+    use = _near(i, j, code, p, q, similarity)
+    return i[use], j[use], np.cumsum(more)[:-1] > 0, dense
+
+
+def _counts(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with the sum of ``n``."""
+    order = np.lexsort((b, a))
+    a, b, n, need = a[order], b[order], n[order], need[order]
+    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return a[start], b[start], np.add.reduceat(n.astype(np.int64), start) if len(a) else n.astype(np.int64), need[start]
+
+
+def _compared(scattered: DataFrame, parts: int, similarity: float, near: int) -> DataFrame:
+    """Rows of ``FOUND``: the first and the later occurrences of all lines, blobs of pairs, and dense keys."""
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, rid, line, h, size, keys, spots)`` of every line with words; equal lines of a batch have keys once."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: list[bytes] = []
+        keys: list[tuple[int, bytes]] = []
+        for b in batches:
+            blob = b.filter(tk.pc.equal(b.column(0), BLOB))
+            rest = b.filter(tk.pc.equal(b.column(0), LATER))
+            if rest.num_rows:
+                yield rest
+            for part, what, data in zip(*(blob.column(c).to_pylist() for c in (1, 6, 2)), strict=True):
+                if what == FIRST:
+                    lines.append(data)
+                else:
+                    keys.append((part, data))
+        own = _gathered(lines, _LINE)
+        first, later = _local(own)
+        yield _rows(LATER, len(later), y=own[2][later], n=own[3][later])
+        docs = pa.array(own[1][first], mask=own[4][first] > 0)
+        yield _rows(FIRST, len(first), x=own[0][first], y=own[2][first], z=docs, n=own[3][first])
+        del own, lines
+        *tops, ids, code, p, q = _gathered([data for _, data in keys], _KEY)
+        del keys
+        if len(ids) == 0:
+            return
+        key = np.zeros(len(ids), U64)
+        for i, top in enumerate(tops):
+            key |= top.astype(U64) << U64(56 - 8 * i)
+        del tops
+        order = _together(key, ids, code & 0x7FFF)
+        key, ids, many, code, p, q = key[order], ids[order], code[order] >> 15, (code[order] & 0x7FFF).astype(np.int64), p[order].astype(np.int64), q[order].astype(np.int64)
+        i, j, more, dense = _met(key, ids, code, p, q, many, similarity, near)
+        a, b, n, need = _counts(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), 1 + (many[i] & many[j]))
+        yield from _dealt(BLOB, tk.mix(a + tk.mix(b)), parts, [a, b, np.minimum(n, 255).astype(np.uint8), need.astype(np.uint8)])
+        n = np.flatnonzero(more)
+        packed = code[n] | (p[n] << 16) | (q[n] << 24) | (dense[n].astype(np.int64) << 32)
+        yield _rows(DENSE, len(n), x=key[n], y=ids[n], z=packed, n=many[n])
+
+    return scattered.repartition("part").mapInArrow(made, FOUND)
+
+
+PAIRED = "a bigint, b bigint, n int, need int"
+
+
+def _paired(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (a.view(np.int64), b.view(np.int64), n.astype(np.int32), need.astype(np.int32))], ["a", "b", "n", "need"])
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """The pairs of all blobs, each once, with the number of keys that they share."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [data for b in batches for data in b.column(1).to_pylist()]
+        yield _paired(*_counts(*_gathered(blobs, _PAIR)))
+
+    return found.where(F.col("kind") == BLOB).select("part", "blob").repartition("part").mapInArrow(made, PAIRED)
+
+
+def _across(dense: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of different groups that meet by a dense key of ``dense(x, y, z, n, root)``."""
+    window = int(np.ceil(-np.log(similarity) * LOG)) + 1
+
+    def of_keys(t: pa.Table) -> pa.RecordBatch:
+        key, ids, packed, many, root = (np.asarray(t.column(c).to_numpy()) for c in ("x", "y", "z", "n", "root"))
+        ids = ids.view(U64)
+        order = np.lexsort((ids, packed & 0xFFFF, key))
+        key, ids, packed, many, root = key[order], ids[order], packed[order], many[order], root[order]
+        code, p, q, flag = packed & 0xFFFF, (packed >> 16) & 255, (packed >> 24) & 255, packed >> 32
+        _, group = _group(key)
+        # of each key the lines outside its commonest group meet all in reach of their sizes
+        by = np.lexsort((root, group))
+        new = np.ones(len(by), np.bool_)
+        new[1:] = (group[by[1:]] != group[by[:-1]]) | (root[by[1:]] != root[by[:-1]])
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(by)))
+        best = np.zeros(int(group[-1]) + 1, np.int64)
+        rank = np.lexsort((count, group[by[start]]))
+        best[group[by[start]][rank]] = root[by[start]][rank]
+        other = np.flatnonzero(root != best[group])
+        sized = group * (1 << 16) + code
+        low = np.searchsorted(sized, group * (1 << 16) + np.maximum(code - window, 0))[other]
+        high = np.searchsorted(sized, sized[other] + window, "right")
+        found = [np.zeros(0, np.int64)]
+        for first in range(0, len(other), 4096):
+            lo, n = low[first : first + 4096], (high - low)[first : first + 4096]
+            i = np.repeat(other[first : first + 4096], n)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            use = (group[i] == group[j]) & (root[i] != root[j]) & (flag[j] > 0)
+            i, j = i[use], j[use]
+            use = _near(i, j, code, p, q, similarity)
+            found.append(i[use] * len(key) + j[use])
+        pair = np.unique(np.concatenate(found))  # some were found from both lines
+        i, j = pair // len(key), pair % len(key)
+        return _paired(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i)), 1 + (many[i] & many[j]))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            ids, rids = b.column(0).cast(pa.int64()), b.column(1)
-            for first, piece in tk.chunks(b.column(2)):
-                piece = tk.pc.utf8_lower(piece)
-                data, row_at = tk.buffers(piece)
-                starts, row_first = line_starts(data, row_at)
-                s, e = tk.runs(tk.word_mask(data), starts)
-                at = np.searchsorted(s, starts)
-                hashes = tk.span_hashes(data, s, e)
-                h = sequence_hashes(hashes, at)
-                letters = e - s
-                size = tk.row_sums(letters, at) + np.maximum(np.diff(at) - 1, 0)
-                full = np.flatnonzero(np.diff(at) > 0)
-                rows = np.repeat(np.arange(len(piece)), np.diff(row_first))
-                number = np.arange(len(rows)) - row_first[rows]
-                _, once = np.unique(h[full], return_index=True)
-                seen = np.zeros(len(at) - 1, np.bool_)
-                seen[full[once]] = True
-                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                # gaps between words count as one character, as in the normalised line
-                inner = np.concatenate(([0], np.cumsum(chars[e] - chars[s] + 1)))
-                line, keys, spots = keys_of(hashes, letters, at, inner[:-1] - np.repeat(inner[at[:-1]], np.diff(at)))
-                line, keys, spots = line[seen[line]], keys[seen[line]], spots[seen[line]]
-                short = np.flatnonzero(seen & (np.diff(at) <= SHORT))
-                raw = data.tobytes()
-                more = short_keys([b" ".join([raw[x:y] for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)]).decode() for i, j in zip(at[short].tolist(), at[short + 1].tolist(), strict=True)])
-                line, keys, spots = (np.concatenate(v) for v in ((line, short[more[0]]), (keys, more[1]), (spots, more[2])))
-                order = np.argsort(line, kind="stable")
-                line, keys, spots = line[order], keys[order], spots[order]
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(at) - 1)[full]))).astype(np.int32)
-                take = pa.array(first + rows[full])
-                yield pa.RecordBatch.from_arrays([ids.take(take), rids.take(take), pa.array(number[full].astype(np.int32)), pa.array(h[full].view(np.int64)), pa.array(size[full].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(spots.astype(np.int32)))], ["doc_id", "rid", "line", "h", "size", "keys", "spots"])
-
-    return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(made, "doc_id bigint, rid bigint, line int, h bigint, size int, keys array<bigint>, spots array<int>")
-
-
-def _fetched(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """``(rid, part, norm)``: the normalised lines whose positions are in the filter."""
+            if b.num_rows == 0:
+                continue
+            keys = b.column(0).to_numpy()
+            last = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])  # where the last key begins
+            if held and (last or held[-1].column(0)[-1].as_py() != keys[0]):
+                yield of_keys(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held, b = [], b.slice(last)
+            held.append(b)
+        if held:
+            yield of_keys(pa.Table.from_batches(held))
+
+    mixed = dense.groupBy("x").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("x")
+    return dense.join(mixed, "x").select("x", "y", "z", "n", "root").repartition("x").sortWithinPartitions("x").mapInArrow(made, PAIRED)
+
+
+def _fetched(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """``(h, norm)``: the normalised lines at ``spots(h, rid, part)``."""
+    table = docs.sparkSession.sparkContext.broadcast(cluster.position_filter(spots))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,139 +573,96 @@ def _fetched(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 rows = np.repeat(np.arange(len(piece)), np.diff(row_first))
                 number = np.arange(len(rows)) - row_first[rows]
                 line_rid = rid[first + rows]
-                hit = np.flatnonzero(cluster.in_filter(table, line_rid, number))
+                hit = np.flatnonzero(cluster.in_filter(table.value, line_rid, number))
                 flat = np.where(tk.word_mask(data), data, np.uint8(32)).tobytes()
-                texts = [b" ".join(flat[x:y].split()).decode() for x, y in zip(starts[hit].tolist(), starts[hit + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(line_rid[hit]), pa.array(number[hit].astype(np.int32)), pa.array(texts, pa.string())], ["rid", "part", "norm"])
+                ends = starts[hit + 1].tolist()
+                texts = [b" ".join(flat[x:y].split()).decode() for x, y in zip(starts[hit].tolist(), ends, strict=True)]
+                columns = [pa.array(line_rid[hit]), pa.array(number[hit].astype(np.int32)), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "part", "norm"])
 
-    return cluster.row_id(docs.select("doc_id", "text")).select("_rid", "text").mapInArrow(made, "rid bigint, part int, norm string")
+    rows = cluster.row_id(docs.select("doc_id", "text")).select("_rid", "text").mapInArrow(made, "rid bigint, part int, norm string")
+    return rows.join(spots, ["rid", "part"]).groupBy("h").agg(F.first("norm").alias("norm"))
 
 
-def _profile(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Counts of byte trigrams in ``PROFILE`` classes, for each row."""
-    n = len(at) - 1
-    if len(data) < 3:
-        return np.zeros((n, PROFILE), np.int32)
-    wide = data.astype(np.uint32)
-    code = ((wide[:-2] * np.uint32(0x9E3779B1)) ^ (wide[1:-1] * np.uint32(0x85EBCA77)) ^ (wide[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(32 - PROFILE_BITS)
-    rows = np.repeat(np.arange(n), np.diff(at))[: len(code)]
-    inside = np.arange(len(code)) + 2 < at[1:][rows]
-    return np.bincount(rows[inside] * PROFILE + code[inside], minlength=n * PROFILE).reshape(n, PROFILE).astype(np.int32)
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The ``(a, b)`` of pairs whose lines are similar."""
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = tk.strings(b.column(2)), tk.strings(b.column(3))
+            most = np.floor(np.maximum(*(tk.pc.utf8_length(t).to_numpy() for t in (left, right))) * (1 - similarity) + 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(edits.within(left, right, most)))
+
+    for c in "ab":
+        pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}")), c)
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(made, "a bigint, b bigint")
+
+
+def _groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` of the lines that are grouped with others."""
+    counted = cluster.written(_counted(found))
+    enough = counted.where("n >= need")
+    dense = found.where(F.col("kind") == DENSE)
+    ids = enough.select(F.col("a").alias("h")).union(enough.select(F.col("b").alias("h"))).union(dense.select(F.col("y").alias("h"))).distinct()
+    spots = cluster.written(found.where(F.col("kind") == FIRST).select(F.col("x").alias("h"), F.col("y").alias("rid"), F.col("n").alias("part")).join(ids, "h", "left_semi"))
+    texts = cluster.written(_fetched(docs, spots))
+    # of each line first the pair that shares most keys, then those that aren't in one group yet
+    best = cluster.written(enough.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b"))
+    edges = cluster.written(_similar(best, texts, similarity))
+    groups = cluster.written(cluster.connected(edges))
+
+    def rooted(rows: DataFrame, name: str, root: str) -> DataFrame:
+        return rows.join(groups.select(F.col("node").alias(name), F.col("root").alias(root)), name, "left").withColumn(root, F.coalesce(root, name))
+
+    rest = enough
+    if not dense.isEmpty():
+        met = counted.union(_across(rooted(dense.select("x", "y", "z", "n"), "y", "root"), similarity))
+        rest = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need")
+    rest = rooted(rooted(rest.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").join(best, ["a", "b"], "left_anti")
+    rest = cluster.written(rest.select("a", "b", "ra", "rb"))
+    true = _similar(rest.select("a", "b"), texts, similarity)
+    links = cluster.written(true.join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    joined = cluster.connected(links)
+    merged = groups.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    out = cluster.written(merged.union(joined.select("node", "root")).groupBy("node").agg(F.min("root").alias("root")))
+    cluster.discard(counted, spots, texts, best, edges, groups, rest, links)
+    return out
 
-def alignment(x: list[str], y: list[str], most: int) -> bool:
-    """Whether a plain walk through both word lists finds an alignment of ``most`` edits.
 
-    At a difference it looks for the nearest place, ``REACH`` words on at most, from which the lists agree
-    again.  Any alignment bounds the distance from above, so True is certain and False is not.
-    """
-    i = j = cost = 0
-    n, m = len(x), len(y)
-    while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
-            i, j = i + 1, j + 1
-            continue
-        for a, b in _STEPS:
-            if i + a < n and j + b < m and x[i + a] == y[j + b] and (i + a + 1 == n or j + b + 1 == m or x[i + a + 1] == y[j + b + 1]):
-                break
-        else:
-            a, b = n - i, m - j
-        cost += max(sum(map(len, x[i : i + a])) + a, sum(map(len, y[j : j + b])) + b)
-        if cost > most:
-            return False
-        i, j = i + a, j + b
-    return True
-
-
-def _differences(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """The pairs that may be similar: what their texts don't share at both ends, and the edits allowed.
-
-    Nothing is left of the texts of pairs that an alignment proves similar.  Of the others, those go
-    whose trigrams differ by more than that many edits can change: an edit of a character of c bytes
-    changes 2 + c trigrams on each side.
-    """
-    for b in batches:
-        for first in range(0, b.num_rows, 128):
-            part = b.slice(first, 128)
-            texts = [tk.strings(part.column(i)) for i in (2, 3)]
-            most = np.floor(np.maximum(*(tk.pc.utf8_length(t).to_numpy() for t in texts)) * (1 - similarity) + 1e-9).astype(np.int32)
-            sure = np.array([alignment(x.split(" "), y.split(" "), k) for x, y, k in zip(texts[0].to_pylist(), texts[1].to_pylist(), most.tolist(), strict=True)], np.bool_)
-            rest = np.flatnonzero(~sure)
-            raw = [tk.buffers(t.take(pa.array(rest))) for t in texts]
-            width = 1 + sum(np.max([tk.row_sums(d >= least, at) > 0 for d, at in raw], axis=0) * more for least, more in ((0x80, 1), (0xE0, 2)))
-            apart = np.abs(_profile(*raw[0]) - _profile(*raw[1])).sum(1)
-            rest = rest[apart <= 2 * (2 + width) * most[rest]]
-            cut = [_trimmed(texts[0][i].as_py(), texts[1][i].as_py()) for i in rest.tolist()]
-            hit = np.concatenate([np.flatnonzero(sure), rest])
-            take, blank = pa.array(hit), [""] * int(sure.sum())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array([*blank, *(x for x, _ in cut)], pa.string()), pa.array([*blank, *(y for _, y in cut)], pa.string()), pa.array(most[hit])], ["a", "b", "ta", "tb", "most"])
-
-
-def _trimmed(x: str, y: str) -> tuple[str, str]:
-    """The texts without their common beginning and end, which no least edit touches."""
-    short = min(len(x), len(y))
-    u, v = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (x, y))
-    other = np.flatnonzero(u[:short] != v[:short])
-    head = int(other[0]) if len(other) else short
-    u, v, short = u[head:], v[head:], short - head
-    other = np.flatnonzero(u[len(u) - short :][::-1] != v[len(v) - short :][::-1])
-    tail = int(other[0]) if len(other) else short
-    return x[head : len(x) - tail], y[head : len(y) - tail]
-
-
-def _verifier(docs: DataFrame, lines: DataFrame, similarity: float) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
-    def prepare(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        spots = lines.join(ids, lines.h == ids.id, "left_semi").groupBy("h").agg(F.min(F.struct("rid", "line")).alias("p"))
-        spots = cluster.written(spots.select("h", F.col("p.rid").alias("rid"), F.col("p.line").alias("part")))
-        texts = cluster.written(_fetched(docs, cluster.position_filter(spots)).join(spots, ["rid", "part"]).groupBy("h").agg(F.first("norm").alias("norm")))
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            left, right = (texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}")) for c in "ab")
-            joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-            cut = joined.mapInArrow(lambda batches: _differences(batches, similarity), "a bigint, b bigint, ta string, tb string, most int")
-            return cut.where("levenshtein(ta, tb, most) >= 0").select("a", "b")
-
-        return verify
-
-    return prepare
-
-
-def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(rid, lines)``: of each row that keeps lines with words, these lines' numbers."""
-    lines = cluster.written(_lines(docs))
-    keys = lines.select(F.explode(F.arrays_zip("keys", "spots")).alias("k"), F.col("h").alias("id"), "size").select(F.col("k.keys").alias("key"), "id", "size", F.col("k.spots").alias("spot"))
-    groups = cluster.grouped(keys, similarity, _verifier(docs, lines, similarity))
-    placed = lines.join(groups, lines.h == groups.node, "left").select(F.coalesce("root", "h").alias("g"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "line").alias("p"))
-    kept = placed.groupBy("g").agg(F.min("p").alias("p"))
-    return kept.groupBy(F.col("p.rid").alias("rid")).agg(F.collect_list("p.line").alias("lines"))
-
-
-def _with_kept(docs: DataFrame, similarity: float) -> DataFrame:
-    """The columns of ``docs``, then the numbers of the lines that a row keeps."""
-    rid, lines = cluster.free(docs, "_rid"), cluster.free(docs, "_lines")
-    kept = kept_lines(docs, similarity).select(F.col("rid").alias(rid), F.col("lines").alias(lines))
-    return cluster.row_id(docs, rid).join(kept, rid, "left").select(*docs.columns, lines)
+def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
+    """``(rid, lines)``: of each row that loses lines, these lines' numbers."""
+    parts = max(16, 4 * cluster.partitions(docs))
+    found = cluster.written(_compared(_scattered(docs, parts), parts, similarity, near))
+    groups = _groups(docs, found, similarity)
+    first = found.where(F.col("kind") == FIRST).select("x", F.struct(F.col("z").isNull().alias("none"), F.col("z").alias("doc"), F.col("y").alias("rid"), F.col("n").alias("line")).alias("p"))
+    placed = cluster.written(first.join(groups, first.x == groups.node).select("root", "p"))
+    kept = placed.groupBy("root").agg(F.min("p").alias("kept"))
+    lost = placed.join(kept, "root").where("p <> kept").select("p.rid", "p.line")
+    lost = lost.union(found.where(F.col("kind") == LATER).select(F.col("y").alias("rid"), F.col("n").alias("line")))
+    out = cluster.written(lost.groupBy("rid").agg(F.collect_set("line").alias("lines")))
+    cluster.discard(found, groups, placed)
+    return out
 
 
-def _cleaned(column: pa.Array, kept: pa.Array) -> Iterator[tuple[int, int, int, bool, str]]:
+def _cleaned(column: pa.Array, lost: pa.Array) -> Iterator[tuple[int, int, int, bool, str]]:
     """Row, lines, removed lines, whether it goes altogether, and what remains of the rows that lose lines."""
     for first, piece in tk.chunks(column):
         data, row_at = tk.buffers(piece)
         starts, row_first = line_starts(data, row_at)
         full = np.diff(np.searchsorted(tk.runs(tk.word_mask(data), starts)[0], starts)) > 0
-        own = kept.slice(first, len(piece))
-        stay = ~full
+        own = lost.slice(first, len(piece))
+        stay = np.ones(len(full), np.bool_)
         # null lists have no values, and equal offsets
         sizes = np.nan_to_num(tk.pc.list_value_length(own).to_numpy(zero_copy_only=False)).astype(np.int64)
-        stay[np.repeat(row_first[:-1], sizes) + np.asarray(own.flatten(), np.int64)] = True
-        lost = tk.row_sums(~stay, row_first)
+        stay[np.repeat(row_first[:-1], sizes) + np.asarray(own.flatten(), np.int64)] = False
+        gone = tk.row_sums(~stay, row_first)
         left = tk.row_sums(full & stay, row_first)
         raw = data.tobytes()
-        for r in np.flatnonzero(lost).tolist():
+        for r in np.flatnonzero(gone).tolist():
             lines = row_first[r] + np.flatnonzero(stay[row_first[r] : row_first[r + 1]])
             ends = starts[lines + 1] - (lines + 1 < row_first[r + 1])  # without the line feed
             text = b"\n".join([raw[x:y] for x, y in zip(starts[lines].tolist(), ends.tolist(), strict=True)]).decode()
-            yield first + r, int(row_first[r + 1] - row_first[r]), int(lost[r]), bool(left[r] == 0), text
+            yield first + r, int(row_first[r + 1] - row_first[r]), int(gone[r]), bool(left[r] == 0), text
 
 
 REPORT = "doc_id bigint, n_lines bigint, removed_lines bigint, dropped boolean, clean_text string"
@@ -402,11 +678,17 @@ def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, *rest = list(zip(*found, strict=True)) if (found := list(_cleaned(b.column(1), b.column(2)))) else [[]] * 5
+            found = list(_cleaned(b.column(1), b.column(2)))
+            rows, *rest = list(zip(*found, strict=True)) if found else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(rows, pa.int64())), *(pa.array(v, k) for v, k in zip(rest, kinds, strict=True))], ["doc_id", "n_lines", "removed_lines", "dropped", "clean_text"])
+            ids = b.column(0).cast(pa.int64()).take(pa.array(rows, pa.int64()))
+            columns = [ids, *(pa.array(v, k) for v, k in zip(rest, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "removed_lines", "dropped", "clean_text"])
 
-    return _with_kept(docs.select("doc_id", "text"), similarity).mapInArrow(made, REPORT)
+    docs = docs.select("doc_id", "text")
+    lost = lost_lines(docs, similarity)
+    hit, _ = cluster.split(cluster.row_id(docs), "_rid", lost.select("rid"))
+    return hit.join(lost, F.col("_rid") == lost.rid).select("doc_id", "text", "lines").mapInArrow(made, REPORT)
 
 
 def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -423,6 +705,12 @@ def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             mask[[f[0] for f in found]] = True
             gone[[f[0] for f in found if f[3]]] = True
             text = tk.pc.replace_with_mask(b.column(at), pa.array(mask), pa.array([f[4] for f in found], b.column(at).type))
-            yield pa.RecordBatch.from_arrays([text if i == at else b.column(i) for i in range(len(names))], names).filter(pa.array(~gone))
+            columns = [text if i == at else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(~gone))
 
-    return _with_kept(docs, similarity).mapInArrow(made, docs.schema)
+    lost = lost_lines(docs, similarity)
+    rid, lines = cluster.free(docs, "_rid"), cluster.free(docs, "_lines")
+    hit, rest = cluster.split(cluster.row_id(docs, rid), rid, lost.select("rid"))
+    lost = lost.select(F.col("rid").alias(rid), F.col("lines").alias(lines))
+    changed = hit.join(lost, rid, "left").select(*names, lines).mapInArrow(made, docs.schema)
+    return rest.select(names).union(changed)

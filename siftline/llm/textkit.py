@@ -152,6 +152,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def joined_hashes(data: np.ndarray, start: np.ndarray, cut: np.ndarray, after: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The :func:`span_hashes` of byte ranges without what lies from ``cut`` to ``after`` in them."""
+    if len(start) == 0:
+        return np.zeros(0, U64)
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    left, right = (sums[cut] - sums[start]) * down[start], (sums[end] - sums[after]) * down[start + after - cut]
+    return mix(left + right + (end - start - after + cut).astype(U64))
+
+
 @dataclass
 class Words:
     """The words of some rows: byte ranges, hashes, and each row's first word in ``at``."""

@@ -15,6 +15,8 @@ from siftline.llm import textkit as tk
 U64 = np.uint64
 #: Bytes of the tables of places by character of a batch of pairs.
 TABLE_BYTES = 16 << 20
+#: Characters of texts, from which on each pair is compared by itself, in whole numbers of any length.
+LONG = 1000
 #: Columns between two looks at which pairs are done.
 LOOK = 32
 
@@ -51,6 +53,9 @@ def within(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
     todo = np.flatnonzero(size[a] - size[b] <= most)
     out[todo[size[b[todo]] == 0]] = True
     todo = todo[size[b[todo]] > 0]
+    for i in todo[size[a[todo]] >= LONG].tolist():
+        out[i] = _single(data[at[a[i]] : at[a[i] + 1]], data[at[b[i]] : at[b[i] + 1]], int(most[i]))
+    todo = todo[size[a[todo]] < LONG]
     todo = todo[np.argsort(size[b[todo]], kind="stable")]
     first = 0
     while first < len(todo):
@@ -64,6 +69,37 @@ def within(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
     return out
 
 
+def _single(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """The same for two texts, of which ``a`` is the longer, without what they share at both ends."""
+    other = np.flatnonzero(a[: len(b)] != b)
+    head = int(other[0]) if len(other) else len(b)
+    a, b = a[head:], b[head:]
+    other = np.flatnonzero(a[len(a) - len(b) :][::-1] != b[::-1])
+    tail = int(other[0]) if len(other) else len(b)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    most = min(most, len(a))
+    if len(b) == 0 or len(a) - len(b) > most:
+        return len(a) <= most
+    mask = (1 << (2 * most + 1)) - 1
+    table = {}
+    for kind in np.unique(b).tolist():
+        places = np.packbits(np.concatenate([np.zeros(most, np.bool_), a == kind]), bitorder="little")
+        table[kind] = int.from_bytes(places.tobytes(), "little")
+    vp, vn = mask ^ ((1 << most) - 1), 0
+    total, last = len(a) - len(b), 1 << (len(a) - len(b) + most)
+    for j, kind in enumerate(b.tolist()):
+        e = (table[kind] >> j) & mask
+        d0 = ((((e & vp) + vp) ^ vp) | e | vn) & mask
+        hp = vn | ((d0 | vp) ^ mask)
+        if not d0 & last:
+            total += 1
+            if total > most:
+                return False
+        down = d0 >> 1
+        vp, vn = (d0 & vp) | ((down | hp) ^ mask), down & hp
+    return True
+
+
 def _batch(data: np.ndarray, at: np.ndarray, kinds: int, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     n, m = at[a + 1] - at[a], at[b + 1] - at[b]  # m ascends
     band, end = int(most.max()), int(m.max())

@@ -17,8 +17,9 @@ it (see the README for figures), too many for blocks of any use.  So lines of mo
 smaller blocks: the telling words in the order of their hashes, each two neighbours of which are a block.
 A changed word breaks three blocks at most, so some stay equal if fewer than a third are changed.  Of more
 than ``PAIRS`` blocks those with the least hashes count, about; the limit depends on the number of
-telling words alone.  Lines of less than ``TOLD`` telling words have pieces as well.  Two lines of many words,
-with ``MANY`` blocks of two words, are candidates if they share two keys at least; other lines, if they share one.
+telling words alone.  Lines that have less than ``MIDDLE`` telling words also have blocks of a word and the next but
+one, which make up that number; lines of less than ``TOLD`` have pieces as well.  Two lines of ``MANY`` telling words and more than ``FEW``
+words are candidates if they share two keys at least; other lines, if they share one.
 
 Lines of ``SHORT`` words at most, among them clauses written without spaces, are keyed by their
 characters as well.  Where one edit is allowed, below 20 characters, all characters but one are a key,
@@ -54,10 +55,12 @@ FEW_LETTERS = 6
 #: Lines of more words than this have blocks of two words, of which those are keys that ``PAIRS`` says.
 SOME = 10
 PAIRS = 40
+#: Telling words up to which blocks of every word and the next but one make up the number of blocks, about.
+MIDDLE = 32
 #: Telling words below which pieces are keys too, about ``PAIRS`` of them.
 TOLD = 12
-#: Blocks of two words from which two lines must share two keys.
-MANY = 28
+#: Telling words from which two lines must share two keys.
+MANY = 13
 #: Words of the lines that are keyed by their characters, at most.
 SHORT = 3
 #: Characters of a run, and runs of a line that are keys.
@@ -67,6 +70,8 @@ RUNS = 64
 NEAR = 16
 #: Keys that a task sorts at a time.
 FLUSH = 1 << 21
+#: Bits of the keys by which lines meet.
+KEY_BITS = 48
 #: Steps of the logarithm by which sizes are told.
 LOG = 1024
 
@@ -143,7 +148,7 @@ def left_out(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, most: int
     return line[enough], keys[enough]
 
 
-def _below(hashes: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+def _below(hashes: np.ndarray, count: np.ndarray, most: int | np.ndarray) -> np.ndarray:
     """Which of ``count`` hashes a line has are among about ``most`` of the least; all, if it has no more."""
     return hashes <= (np.minimum(most / np.maximum(count, 1), 1.0) * (1 << 53)).astype(U64) * U64(1 << 11) - U64(1)
 
@@ -179,11 +184,12 @@ def pairs(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, least: int =
     new[1:] = (line[1:] != line[:-1]) | (hashes[word[1:]] != hashes[word[:-1]])
     line, word = line[new], word[new]
     told = np.bincount(line, minlength=len(size))
-    at_ = np.flatnonzero(line[1:] == line[:-1])
-    first, second = word[at_], word[at_ + 1]
+    next_ = np.flatnonzero(line[1:] == line[:-1])
+    over = np.flatnonzero((line[2:] == line[:-2]) & (told[line[2:]] <= MIDDLE) & (size[line[2:]] > FEW))
+    line, first, second = np.concatenate([line[next_], line[over]]), word[np.concatenate([next_, over])], word[np.concatenate([next_ + 1, over + 2])]
     key = tk.mix(tk.mix(hashes[first]) + hashes[second] + (first < second).astype(U64))
-    few = _below(key, told[line[at_]], PAIRS)
-    return line[at_][few], key[few], first[few], second[few], told
+    few = _below(key, told[line], np.where(np.arange(len(line)) < len(next_), PAIRS, np.maximum(MIDDLE - told[line], 0)))
+    return line[few], key[few], first[few], second[few], told
 
 
 def short_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +234,7 @@ def keys_of(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, spots: np.n
     more, piece, start = pieces(hashes, letters, at, (size <= FEW) | (told < TOLD))
     line, key = np.concatenate([np.nonzero(new)[0], some, two, more]), np.concatenate([made[new], left, block, piece])
     none = np.zeros(len(line) - len(two) - len(more), np.int64)
-    many = (size > FEW) & (np.bincount(two, minlength=len(size)) >= MANY)
+    many = (size > FEW) & (told >= MANY)
     return line, key, np.concatenate([none, spots[first], spots[start]]), np.concatenate([none, spots[second], spots[start]]), many
 
 
@@ -241,7 +247,7 @@ FOUND = "kind int, part int, blob binary, x bigint, y bigint, z bigint, n int"
 #: Kinds of rows: first occurrences, later ones, keys or pairs in blobs, and keys whose lines are many.
 FIRST, LATER, BLOB, DENSE = range(4)
 _LINE = ["u8", "i8", "i8", "i4", "u1"]
-_KEY = [*["u1"] * 6, "u8", "u2", "u1", "u1"]
+_KEY = ["u4", "u8", "u2", "u1", "u1"]
 _PAIR = ["u8", "u8", "u1", "u1"]
 
 
@@ -260,16 +266,29 @@ def _rows(kind: int, size: int, **columns: np.ndarray | pa.Array) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *map(column, kinds)], ["kind", *kinds])
 
 
-def _dealt(kind: int, key: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The records as a blob for each part of the keys' range; ``kind`` tells what the blobs hold."""
-    order = np.argsort(key)
-    part = ((key[order] >> U64(32)) * U64(parts)) >> U64(32)
-    edge = np.searchsorted(part, np.arange(parts + 1))
+def _dealt(kind: int, key: np.ndarray, parts: int, columns: list[np.ndarray], keyed: bool = False) -> Iterator[pa.RecordBatch]:
+    """The records as blobs for each part of the keys' range; ``kind`` tells what they hold.
+
+    Where they are ``keyed``, a first column has what the upper ``KEY_BITS`` of the keys add to the one before, and a
+    blob ends where that takes more than 32 bits.
+    """
+    order = np.argsort(key, kind="stable")
+    part = (((key[order] >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+    cut = part[1:] != part[:-1]
     columns = [c[order] for c in columns]
-    full = np.flatnonzero(edge[1:] > edge[:-1])
-    blobs = [b"".join([c[edge[i] : edge[i + 1]].tobytes() for c in columns]) for i in full.tolist()]
+    if keyed:
+        top = key[order] >> U64(64 - KEY_BITS)
+        step = np.diff(top, prepend=U64(0))
+        cut |= step[1:] >> U64(32) > 0
+    start = np.concatenate(([0], np.flatnonzero(cut) + 1)) if len(order) else np.zeros(0, np.int64)
+    edge = np.append(start, len(order)).tolist()
+    if keyed:
+        step[start] = 0
+        columns = [step.astype(np.uint32), *columns]
+    blobs = [b"".join([c[x:y].tobytes() for c in columns]) for x, y in zip(edge[:-1], edge[1:], strict=True)]
     if blobs:
-        yield _rows(BLOB, len(full), part=full, blob=pa.array(blobs, pa.binary()), n=np.full(len(full), kind))
+        first = top[start] if keyed else None
+        yield _rows(BLOB, len(blobs), part=part[start], blob=pa.array(blobs, pa.binary()), n=np.full(len(blobs), kind), x=first)
 
 
 def _gathered(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
@@ -346,8 +365,11 @@ def _scattered(docs: DataFrame, parts: int) -> DataFrame:
             yield from _dealt(FIRST, own[0][first], parts, [c[first] for c in own])
         if keys:
             key, h, code, p, q = (np.concatenate(c) for c in zip(*keys, strict=True))
-            tops = key.astype(">u8").view(np.uint8).reshape(-1, 8)
-            yield from _dealt(DENSE, key, parts, [*(tops[:, i] for i in range(6)), h, code, p, q])
+            order = np.argsort(key)
+            new = np.ones(len(key), np.bool_)  # without most keys of lines that occur again
+            new[1:] = (key[order[1:]] != key[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+            key, h, code, p, q = (c[order[new]] for c in (key, h, code, p, q))
+            yield from _dealt(DENSE, key, parts, [h, code, p, q], keyed=True)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: list[list[np.ndarray]] = []
@@ -449,31 +471,31 @@ def _compared(scattered: DataFrame, parts: int, similarity: float, near: int) ->
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: list[bytes] = []
-        keys: list[tuple[int, bytes]] = []
+        keys: list[tuple[int, bytes]] = []  # with the first key of each
         for b in batches:
             blob = b.filter(tk.pc.equal(b.column(0), BLOB))
             rest = b.filter(tk.pc.equal(b.column(0), LATER))
             if rest.num_rows:
                 yield rest
-            for part, what, data in zip(*(blob.column(c).to_pylist() for c in (1, 6, 2)), strict=True):
+            for top, what, data in zip(*(blob.column(c).to_pylist() for c in (3, 6, 2)), strict=True):
                 if what == FIRST:
                     lines.append(data)
                 else:
-                    keys.append((part, data))
+                    keys.append((top, data))
         own = _gathered(lines, _LINE)
         first, later = _local(own)
         yield _rows(LATER, len(later), y=own[2][later], n=own[3][later])
         docs = pa.array(own[1][first], mask=own[4][first] > 0)
         yield _rows(FIRST, len(first), x=own[0][first], y=own[2][first], z=docs, n=own[3][first])
         del own, lines
-        *tops, ids, code, p, q = _gathered([data for _, data in keys], _KEY)
-        del keys
+        step, ids, code, p, q = _gathered([data for _, data in keys], _KEY)
         if len(ids) == 0:
             return
-        key = np.zeros(len(ids), U64)
-        for i, top in enumerate(tops):
-            key |= top.astype(U64) << U64(56 - 8 * i)
-        del tops
+        size = np.array([len(data) for _, data in keys]) // sum(np.dtype(k).itemsize for k in _KEY)
+        key = np.cumsum(step, dtype=U64)
+        start = np.cumsum(size) - size
+        key += np.repeat(np.array([top for top, _ in keys], np.int64).view(U64) - key[start], size)
+        del step, keys
         order = _together(key, ids, code & 0x7FFF)
         key, ids, many, code, p, q = key[order], ids[order], code[order] >> 15, (code[order] & 0x7FFF).astype(np.int64), p[order].astype(np.int64), q[order].astype(np.int64)
         i, j, more, dense = _met(key, ids, code, p, q, many, similarity, near)
@@ -604,7 +626,10 @@ def _groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     enough = counted.where("n >= need")
     dense = found.where(F.col("kind") == DENSE)
     ids = enough.select(F.col("a").alias("h")).union(enough.select(F.col("b").alias("h"))).union(dense.select(F.col("y").alias("h"))).distinct()
-    spots = cluster.written(found.where(F.col("kind") == FIRST).select(F.col("x").alias("h"), F.col("y").alias("rid"), F.col("n").alias("part")).join(ids, "h", "left_semi"))
+    ids = cluster.written(ids)
+    first, _ = cluster.split(found.where(F.col("kind") == FIRST), "x", ids.select(F.col("h").alias("rid")))
+    spots = first.select(F.col("x").alias("h"), F.col("y").alias("rid"), F.col("n").alias("part"))
+    spots = cluster.written(spots.join(ids, "h", "left_semi"))
     texts = cluster.written(_fetched(docs, spots))
     # of each line first the pair that shares most keys, then those that aren't in one group yet
     best = cluster.written(enough.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b"))
@@ -625,7 +650,7 @@ def _groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     joined = cluster.connected(links)
     merged = groups.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     out = cluster.written(merged.union(joined.select("node", "root")).groupBy("node").agg(F.min("root").alias("root")))
-    cluster.discard(counted, spots, texts, best, edges, groups, rest, links)
+    cluster.discard(counted, ids, spots, texts, best, edges, groups, rest, links)
     return out
 
 
@@ -634,7 +659,8 @@ def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, near: int = NEAR
     parts = max(16, 4 * cluster.partitions(docs))
     found = cluster.written(_compared(_scattered(docs, parts), parts, similarity, near))
     groups = _groups(docs, found, similarity)
-    first = found.where(F.col("kind") == FIRST).select("x", F.struct(F.col("z").isNull().alias("none"), F.col("z").alias("doc"), F.col("y").alias("rid"), F.col("n").alias("line")).alias("p"))
+    first, _ = cluster.split(found.where(F.col("kind") == FIRST), "x", groups.select(F.col("node").alias("rid")))
+    first = first.select("x", F.struct(F.isnull("z").alias("none"), F.col("z").alias("doc"), F.col("y").alias("rid"), F.col("n").alias("line")).alias("p"))
     placed = cluster.written(first.join(groups, first.x == groups.node).select("root", "p"))
     kept = placed.groupBy("root").agg(F.min("p").alias("kept"))
     lost = placed.join(kept, "root").where("p <> kept").select("p.rid", "p.line")

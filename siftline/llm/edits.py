@@ -15,6 +15,9 @@ from siftline.llm import textkit as tk
 U64 = np.uint64
 #: Bytes of the tables of places by character of a batch of pairs.
 TABLE_BYTES = 16 << 20
+#: Classes of trigrams by which pairs are told to be too far apart, and pairs that are so at a time.
+PROFILE_BITS = 9
+TOGETHER = 256
 #: Characters of texts, from which on each pair is compared by itself, in whole numbers of any length.
 LONG = 1000
 #: Columns between two looks at which pairs are done.
@@ -40,6 +43,33 @@ def _inside(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return line, place, at[rows][line] + place
 
 
+def alike(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
+    """Whether the trigrams of each pair of texts differ by no more than ``most`` edits can change.
+
+    An edit changes three trigrams on each side.  False is certain, True isn't.
+    """
+    n = len(left)
+    data, at, _ = codes(pa.concat_arrays([tk.strings(left), tk.strings(right)]))
+    if len(data) < 3:
+        return np.ones(n, np.bool_)
+    wide = data.astype(np.uint32)
+    code = wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA77) ^ wide[2:] * np.uint32(0xC2B2AE3D)
+    code = (code >> np.uint32(32 - PROFILE_BITS)).astype(np.int32)
+    out = np.zeros(n, np.bool_)
+    kinds = 1 << PROFILE_BITS
+    for first in range(0, n, TOGETHER):
+        last = min(n, first + TOGETHER)
+        counts = np.zeros((last - first) * kinds, np.int64)
+        for begin, sign in ((0, 1), (n, -1)):
+            start, end = at[first + begin : last + begin], np.maximum(at[first + begin + 1 : last + begin + 1] - 2, at[first + begin : last + begin])
+            size = end - start
+            line = np.repeat(np.arange(len(size)), size)
+            here = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + start[line]
+            counts += sign * np.bincount(line * kinds + code[here], minlength=len(counts))
+        out[first:last] = np.abs(counts.reshape(-1, kinds)).sum(1) <= 6 * most[first:last]
+    return out
+
+
 def within(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
     """Whether each pair of texts is at most ``most`` edits of single characters apart."""
     n = len(left)

@@ -69,7 +69,7 @@ RUNS = 64
 #: Lines of a key that a line meets at once.
 NEAR = 16
 #: Keys that a task sorts at a time.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Bits of the keys by which lines meet.
 KEY_BITS = 48
 #: Steps of the logarithm by which sizes are told.
@@ -269,10 +269,14 @@ def _rows(kind: int, size: int, **columns: np.ndarray | pa.Array) -> pa.RecordBa
 def _dealt(kind: int, key: np.ndarray, parts: int, columns: list[np.ndarray], keyed: bool = False) -> Iterator[pa.RecordBatch]:
     """The records as blobs for each part of the keys' range; ``kind`` tells what they hold.
 
-    Where they are ``keyed``, a first column has what the upper ``KEY_BITS`` of the keys add to the one before, and a
+    Where they are ``keyed``, the first of ``columns`` is the lines' hashes; before it a column has what the upper ``KEY_BITS`` of the keys add to the one before, and a
     blob ends where that takes more than 32 bits.
     """
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    if keyed:  # most keys of lines that occur again go
+        new = np.ones(len(order), np.bool_)
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (columns[0][order[1:]] != columns[0][order[:-1]])
+        order = order[new]
     part = (((key[order] >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
     cut = part[1:] != part[:-1]
     columns = [c[order] for c in columns]
@@ -365,10 +369,6 @@ def _scattered(docs: DataFrame, parts: int) -> DataFrame:
             yield from _dealt(FIRST, own[0][first], parts, [c[first] for c in own])
         if keys:
             key, h, code, p, q = (np.concatenate(c) for c in zip(*keys, strict=True))
-            order = np.argsort(key)
-            new = np.ones(len(key), np.bool_)  # without most keys of lines that occur again
-            new[1:] = (key[order[1:]] != key[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
-            key, h, code, p, q = (c[order[new]] for c in (key, h, code, p, q))
             yield from _dealt(DENSE, key, parts, [h, code, p, q], keyed=True)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -602,7 +602,8 @@ def _fetched(docs: DataFrame, spots: DataFrame) -> DataFrame:
                 columns = [pa.array(line_rid[hit]), pa.array(number[hit].astype(np.int32)), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "part", "norm"])
 
-    rows = cluster.row_id(docs.select("doc_id", "text")).select("_rid", "text").mapInArrow(made, "rid bigint, part int, norm string")
+    some, _ = cluster.split(cluster.row_id(docs.select("doc_id", "text")), "_rid", spots.select("rid").distinct())
+    rows = some.select("_rid", "text").mapInArrow(made, "rid bigint, part int, norm string")
     return rows.join(spots, ["rid", "part"]).groupBy("h").agg(F.first("norm").alias("norm"))
 
 
@@ -613,10 +614,12 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         for b in batches:
             left, right = tk.strings(b.column(2)), tk.strings(b.column(3))
             most = np.floor(np.maximum(*(tk.pc.utf8_length(t).to_numpy() for t in (left, right))) * (1 - similarity) + 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(edits.within(left, right, most)))
+            maybe = np.flatnonzero(edits.alike(left, right, most))
+            true = edits.within(left.take(pa.array(maybe)), right.take(pa.array(maybe)), most[maybe])
+            yield b.select(["a", "b"]).take(pa.array(maybe[true]))
 
     for c in "ab":
-        pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}")), c)
+        pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}")).hint("shuffle_hash"), c)
     return pairs.select("a", "b", "ta", "tb").mapInArrow(made, "a bigint, b bigint")
 
 
@@ -656,7 +659,7 @@ def _groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
 
 def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
     """``(rid, lines)``: of each row that loses lines, these lines' numbers."""
-    parts = max(16, 4 * cluster.partitions(docs))
+    parts = max(16, 8 * cluster.partitions(docs))
     found = cluster.written(_compared(_scattered(docs, parts), parts, similarity, near))
     groups = _groups(docs, found, similarity)
     first, _ = cluster.split(found.where(F.col("kind") == FIRST), "x", groups.select(F.col("node").alias("rid")))

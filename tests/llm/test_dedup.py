@@ -124,7 +124,10 @@ def test_edit_distances():
         pairs.append((base, "".join(other)))
     most = [int(0.1 * max(len(x), len(y)) + 1e-9) for x, y in pairs]
     got = edits.within(pa.array([x for x, _ in pairs]), pa.array([y for _, y in pairs]), np.array(most))
-    assert got.tolist() == [_distance(x, y) <= k for (x, y), k in zip(pairs, most, strict=True)]
+    true = [_distance(x, y) <= k for (x, y), k in zip(pairs, most, strict=True)]
+    assert got.tolist() == true
+    alike = edits.alike(pa.array([x for x, _ in pairs]), pa.array([y for _, y in pairs]), np.array(most))
+    assert alike[true].all() and not alike.all()
 
 
 def test_connected(spark):

@@ -75,7 +75,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 #: Edges that a task contracts at a time.
-CONTRACTED = 1 << 18
+CONTRACTED = 1 << 21
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each task first contracts the edges that it holds to stars.  Null ends and loops count for nothing.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = written(e.mapInArrow(_contracted, "u bigint, v bigint").distinct())
+    e = written(e.distinct().mapInArrow(_contracted, "u bigint, v bigint"))
     for _ in range(rounds):
         if e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break  # every least node is a root: all groups are stars
@@ -126,11 +126,11 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        old, e = e, written(small.mapInArrow(_contracted, "u bigint, v bigint").distinct())
+        old, e = e, written(small.distinct().mapInArrow(_contracted, "u bigint, v bigint"))
         discard(old)
     else:
         raise RuntimeError(f"groups didn't settle in {rounds} rounds")
-    leaves = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    leaves = e.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
     return leaves.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -525,8 +525,22 @@ def _counted(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") == BLOB).select("part", "blob").repartition("part").mapInArrow(made, PAIRED)
 
 
-def _across(dense: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of different groups that meet by a dense key of ``dense(x, y, z, n, root)``."""
+def _once(i: np.ndarray, j: np.ndarray, group: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the pairs of each key for each two groups."""
+    low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+    order = np.lexsort((j, i, high, low, group[i]))
+    new = np.ones(len(order), np.bool_)
+    for v in (group[i], low, high):
+        new[1:] &= v[order[1:]] == v[order[:-1]]
+    new[1:] = ~new[1:]
+    return i[order[new]], j[order[new]]
+
+
+def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
+    """The pairs of different groups that meet by a dense key of ``dense(x, y, z, n, root)``.
+
+    ``few``: of every key one pair for each two groups that meet.
+    """
     window = int(np.ceil(-np.log(similarity) * LOG)) + 1
 
     def of_keys(t: pa.Table) -> pa.RecordBatch:
@@ -558,7 +572,10 @@ def _across(dense: DataFrame, similarity: float) -> DataFrame:
             use = (group[i] == group[j]) & (root[i] != root[j]) & (flag[j] > 0)
             i, j = i[use], j[use]
             use = _near(i, j, code, p, q, similarity)
-            found.append(i[use] * len(key) + j[use])
+            i, j = i[use], j[use]
+            if few:
+                i, j = _once(i, j, group, root)
+            found.append(i * len(key) + j)
         pair = np.unique(np.concatenate(found))  # some were found from both lines
         i, j = pair // len(key), pair % len(key)
         return _paired(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i)), 1 + (many[i] & many[j]))
@@ -634,27 +651,41 @@ def _groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     spots = first.select(F.col("x").alias("h"), F.col("y").alias("rid"), F.col("n").alias("part"))
     spots = cluster.written(spots.join(ids, "h", "left_semi"))
     texts = cluster.written(_fetched(docs, spots))
-    # of each line first the pair that shares most keys, then those that aren't in one group yet
+    # of each line first the pair that shares most keys
     best = cluster.written(enough.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b"))
     edges = cluster.written(_similar(best, texts, similarity))
     groups = cluster.written(cluster.connected(edges))
-
-    def rooted(rows: DataFrame, name: str, root: str) -> DataFrame:
-        return rows.join(groups.select(F.col("node").alias(name), F.col("root").alias(root)), name, "left").withColumn(root, F.coalesce(root, name))
-
-    rest = enough
-    if not dense.isEmpty():
-        met = counted.union(_across(rooted(dense.select("x", "y", "z", "n"), "y", "root"), similarity))
-        rest = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need")
-    rest = rooted(rooted(rest.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").join(best, ["a", "b"], "left_anti")
-    rest = cluster.written(rest.select("a", "b", "ra", "rb"))
-    true = _similar(rest.select("a", "b"), texts, similarity)
-    links = cluster.written(true.join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    joined = cluster.connected(links)
-    merged = groups.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-    out = cluster.written(merged.union(joined.select("node", "root")).groupBy("node").agg(F.min("root").alias("root")))
-    cluster.discard(counted, ids, spots, texts, best, edges, groups, rest, links)
-    return out
+    cluster.discard(edges)
+    some, tried, made = not dense.isEmpty(), best, []
+    # then one pair for each two groups, and at last all pairs that aren't in one group yet
+    for few in (True, False):
+        rest = enough
+        if some:
+            met = counted.union(_across(_rooted(dense.select("x", "y", "z", "n"), groups, "y", "root"), similarity, few))
+            rest = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need")
+        rest = _rooted(_rooted(rest.select("a", "b", "n"), groups, "a", "ra"), groups, "b", "rb").where("ra <> rb")
+        if few:
+            rest = rest.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
+            rest = rest.agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("n"), "a", "b")).alias("p")).select("p.a", "p.b", "ra", "rb")
+        else:
+            rest = rest.join(tried, ["a", "b"], "left_anti")
+        rest = cluster.written(rest.select("a", "b", "ra", "rb"))
+        tried = tried.union(rest.select("a", "b"))
+        made += [rest]
+        true = _similar(rest.select("a", "b"), texts, similarity)
+        links = cluster.written(true.join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        joined = cluster.connected(links)
+        merged = groups.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
+        merged = merged.select("node", F.coalesce("new", "root").alias("root")).union(joined.select("node", "root"))
+        before, groups = groups, cluster.written(merged.groupBy("node").agg(F.min("root").alias("root")))
+        cluster.discard(before, links)
+    cluster.discard(counted, ids, spots, texts, best, *made)
+    return groups
+
+
+def _rooted(rows: DataFrame, groups: DataFrame, name: str, root: str) -> DataFrame:
+    """``rows`` with the group of a line as a column; a line in none is its own."""
+    return rows.join(groups.select(F.col("node").alias(name), F.col("root").alias(root)), name, "left").withColumn(root, F.coalesce(root, name))
 
 
 def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:

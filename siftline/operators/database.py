@@ -31,6 +31,8 @@ class DatabaseBuilder:
         def struct(names: list[str] | None) -> Column:
             return F.struct(*[F.col(c) for c in names]) if names else F.struct(F.lit(None).cast("string").alias("_"))
 
+        if any(name.lower() == "doc_id" for name in metadata or []):
+            raise ValueError("metadata can't be called doc_id, which is the document's id; rename the column")
         self._added.append(docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), struct(metadata).alias("meta"), struct(data).alias("data")))
         return self
 
@@ -42,8 +44,8 @@ class DatabaseBuilder:
     def build(self, path: str | None = None, on_duplicate: str = "error", mode: str = "errorifexists") -> SearchDatabase:
         """The database: written to ``path`` and indexed, or lazy and scanned where there is none.
 
-        Two documents of one id are an error, or with ``on_duplicate="last"`` the one added last stays
-        (``"any"`` skips the check).
+        Two documents of one id are an error, or with ``on_duplicate="last"`` the one added last stays,
+        of those added by one call the one of the greatest text (``"any"`` skips the check).
         """
         if not self._added:
             raise ValueError("no documents")
@@ -53,7 +55,7 @@ class DatabaseBuilder:
             if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
                 raise ValueError("a document id occurs twice")
         elif on_duplicate == "last":
-            docs = docs.groupBy("doc_id").agg(F.max_by(F.struct("text", "meta", "data"), "_n").alias("d")).select("doc_id", "d.*")
+            docs = docs.groupBy("doc_id").agg(F.max_by(F.struct("text", "meta", "data"), F.struct("_n", "text")).alias("d")).select("doc_id", "d.*")
         elif on_duplicate != "any":
             raise ValueError("on_duplicate is error, last or any")
         found = tables.sentences(docs, self.analyzer)
@@ -88,7 +90,7 @@ class SearchDatabase:
         """The term of a word if any sentence holds it."""
         stems = self.tokenize_phrase(word)
         if len(stems) != 1 or self.index.vocabulary is None:
-            return stems[0] if len(stems) == 1 and not self.query(Phrase(stems[0]), highlights=False).isEmpty() else None
+            return stems[0] if len(stems) == 1 and not self.query(Phrase(stems[0]), ids=True).isEmpty() else None
         return None if self.index.vocabulary.where(F.col("stem") == stems[0]).isEmpty() else stems[0]
 
     def terms(self, text: str) -> Terms:
@@ -109,10 +111,15 @@ class SearchDatabase:
             return None
         return node if document_filter is None else node.filter_documents(document_filter)
 
-    def query(self, node: QueryNode, plan: str = "auto", optimize: bool = True, parts: bool = False, ordered: bool = False, highlights: bool = True) -> DataFrame:
-        """Matching sentences with their highlights; ``parts`` adds the split text, ``ordered`` sorts them."""
-        found = search(self.index, node, plan, optimize)
-        if not highlights:
+    def query(self, node: QueryNode, plan: str = "auto", optimize: bool = True, parts: bool = False, ordered: bool = False, highlights: bool = True, ids: bool = False) -> DataFrame:
+        """Matching sentences with their highlights; ``parts`` adds the split text, ``ordered`` sorts them.
+
+        With ``ids`` there are ``doc_id`` and ``sentence_idx`` alone, and by the index no text is read.
+        """
+        found = search(self.index, node, plan, optimize, ids)
+        if ids:
+            pass
+        elif not highlights:
             found = found.drop("highlights")
         elif parts:
             found = found.withColumn("parts", highlight.parts("text", "highlights"))

@@ -85,22 +85,25 @@ def _matching(index: Index, node: QueryNode, indexed: bool) -> tuple[DataFrame,
     return found, names, flags
 
 
-def search(index: Index, node: QueryNode, plan: str = "auto", optimize: bool = True) -> DataFrame:
+def search(index: Index, node: QueryNode, plan: str = "auto", optimize: bool = True, ids: bool = False) -> DataFrame:
     """``(doc_id, sentence_idx, text, highlights, ...)`` of the matching sentences, in no order.
 
-    ``plan``: ``index``, ``scan``, or ``auto`` for the index where there is one.
+    ``plan``: ``index``, ``scan``, or ``auto`` for the index where there is one.  With ``ids`` the first two
+    columns alone, for which the index plan reads no sentences unless a filter needs them.
     """
     node = flat(node) if optimize else node
     indexed = index.postings is not None if plan == "auto" else plan == "index"
     if indexed and index.postings is None:
         raise ValueError("nothing is indexed; build with a path, or scan")
     found, names, flags = _matching(index, node, indexed)
-    if indexed:
+    if indexed and not (ids and node.sentence_filter is None):
         found = found.join(index.sentences, ["doc_id", "sentence_idx"])
     if any(n.sentence_filter is not None for c in node.children() for n in c.walk()):
         raise ValueError("a sentence filter belongs to the whole query")
     if node.sentence_filter is not None:
         found = found.where(node.sentence_filter)
+    if ids:
+        return found.select("doc_id", "sentence_idx")
 
     def span(phrase: tuple[str, ...]) -> Column:
         last = len(phrase) - 1

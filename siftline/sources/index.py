@@ -91,7 +91,7 @@ def numbered(found: DataFrame, parts: int = 256) -> DataFrame:
     first = F.min(F.struct("doc_id", "sentence_idx", F.element_at("positions", 1).alias("pos"))).alias("first")
     bounds = found.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, high = (bounds.low, bounds.high) if bounds.low is not None else (0, 0)
-    part = F.floor((F.col("first.doc_id") - F.lit(low)) / F.lit((high - low) // parts + 1)).cast("int")
+    part = F.expr(f"CAST((CAST(first.doc_id AS DECIMAL(20, 0)) - {low}) DIV {(high - low) // parts + 1} AS INT)")
     terms = found.groupBy("stem").agg(first).withColumn("part", part)
     counts = terms.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # ``parts`` rows

@@ -20,10 +20,13 @@ def index_stream(stream: DataFrame, root: str, checkpoint: str, id: str = "id",
 
 
 def load_batches(spark: SparkSession, root: str) -> SearchDatabase:
-    """One database of all batches under ``root`` that are complete; ids must differ between batches."""
+    """One database of all batches under ``root`` that are complete; an id in two batches is an error."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/batch-*/manifest/_SUCCESS")
     found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
     paths = sorted(str(f.getPath().getParent().getParent()) for f in found or [])
     if not paths:
         raise ValueError("no batch is complete")
-    return SearchDatabase(tables.union([tables.read(spark, p) for p in paths]))
+    made = tables.union([tables.read(spark, p) for p in paths])
+    if not made.documents.groupBy("doc_id").count().where("count > 1").isEmpty():
+        raise ValueError("a document id occurs in two batches")
+    return SearchDatabase(made)

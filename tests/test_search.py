@@ -143,3 +143,24 @@ def test_stream_of_batches(spark, tmp_path):
     index_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     db = load_batches(spark, str(tmp_path / "out"))
     assert [r[0] for r in found(db, "foo bar")] == [0, 1]
+
+
+def test_ids_alone_read_no_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox\nblue fox"), (2, "red hen")], "id long, text string")
+    db = SearchDatabase.builder(spark).add_documents(docs).build(str(tmp_path / "ids"))
+    found = db.query(db.parse_query("red AND fox"), ids=True)
+    assert [tuple(r) for r in found.collect()] == [(1, 0)] and found.columns == ["doc_id", "sentence_idx"]
+    assert "/sentences" not in found._jdf.queryExecution().toString()
+
+
+def test_clashing_names_and_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", 7)], "id long, text string, doc_id long")
+    with pytest.raises(ValueError, match="doc_id"):
+        SearchDatabase.builder(spark).add_documents(docs, metadata=["doc_id"])
+    both = spark.createDataFrame([(1, "a"), (1, "b")], "id long, text string")
+    db = SearchDatabase.builder(spark).add_documents(both).build(on_duplicate="last")
+    assert [r.text for r in db.query(db.parse_query("a OR b")).collect()] == ["b"]
+    for n in (0, 1):
+        SearchDatabase.builder(spark).add_documents(docs).build(str(tmp_path / "out" / f"batch-{n:08d}"))
+    with pytest.raises(ValueError, match="two batches"):
+        load_batches(spark, str(tmp_path / "out"))

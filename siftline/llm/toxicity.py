@@ -88,13 +88,17 @@ def _minima(w: tk.Words, n: int = 4) -> np.ndarray:
 
 
 def _once(minima: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Rows without the copies of earlier ones of the same label: those that share a minimum with them."""
-    keep = np.ones(len(y), np.bool_)
+    """Rows without the copies of earlier ones of the same label: those that share half of the minima with one."""
+    n = len(y)
+    first = np.zeros(minima.shape, np.int64)  # the first row that has a minimum
+    for i in range(minima.shape[1]):
+        _, start, which = np.unique(np.stack([minima[:, i], y.astype(np.uint64)]), axis=1, return_index=True, return_inverse=True)
+        first[:, i] = start[which.reshape(-1)]
+    shared = np.zeros(n, np.int64)
     for i in range(minima.shape[1]):
-        first = np.zeros(len(y), np.bool_)
-        first[np.unique(np.stack([minima[:, i], y.astype(np.uint64)]), axis=1, return_index=True)[1]] = True
-        keep &= first
-    return np.flatnonzero(keep)
+        same = (first == first[:, i : i + 1]).sum(1)
+        shared = np.maximum(shared, np.where(first[:, i] < np.arange(n), same, 0))
+    return np.flatnonzero(2 * shared < minima.shape[1])
 
 
 def _chosen(rows: np.ndarray, words: np.ndarray, y: np.ndarray, most: int, least: int) -> np.ndarray:

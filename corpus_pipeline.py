@@ -41,7 +41,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: SQL can't express the trained and iterative stages; tests compare run() with brute force.
+#: SQL can't express the trained and iterative stages; tests compare the stages' rows with the operators' reports.
 ORACLE_SQL = None
 
 

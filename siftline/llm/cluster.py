@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,6 +75,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def releasing(made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``made``, after which the worker gives the memory back that it has freed; it is kept for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from made(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 #: Edges that a task contracts at a time.
 CONTRACTED = 1 << 21
 

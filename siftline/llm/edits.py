@@ -20,6 +20,8 @@ PROFILE_BITS = 9
 TOGETHER = 256
 #: Characters of texts, from which on each pair is compared by itself, in whole numbers of any length.
 LONG = 1000
+#: Bytes of texts whose trigrams are counted at a time; a longer pair is taken whole.
+PIECE_BYTES = 1 << 20
 #: Columns between two looks at which pairs are done.
 LOOK = 32
 
@@ -48,8 +50,19 @@ def alike(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
 
     An edit changes three trigrams on each side.  False is certain, True isn't.
     """
+    left, right = tk.strings(left), tk.strings(right)
+    at = tk.buffers(left)[1] + tk.buffers(right)[1]
+    found, first = [np.zeros(0, np.bool_)], 0
+    while first < len(left):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE_BYTES, "right")) - 1)
+        found.append(_alike(left.slice(first, last - first), right.slice(first, last - first), most[first:last]))
+        first = last
+    return np.concatenate(found)
+
+
+def _alike(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
     n = len(left)
-    data, at, _ = codes(pa.concat_arrays([tk.strings(left), tk.strings(right)]))
+    data, at, _ = codes(pa.concat_arrays([left, right]))
     if len(data) < 3:
         return np.ones(n, np.bool_)
     wide = data.astype(np.uint32)

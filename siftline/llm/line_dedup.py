@@ -385,7 +385,7 @@ def _scattered(docs: DataFrame, parts: int) -> DataFrame:
                     lines, keys, held = [], [], 0
         yield from flushed(lines, keys)
 
-    return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(made, FOUND)
+    return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(cluster.releasing(made), FOUND)
 
 
 def _near(i: np.ndarray, j: np.ndarray, code: np.ndarray, p: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
@@ -469,25 +469,14 @@ def _counts(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> tu
 def _compared(scattered: DataFrame, parts: int, similarity: float, near: int) -> DataFrame:
     """Rows of ``FOUND``: the first and the later occurrences of all lines, blobs of pairs, and dense keys."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines: list[bytes] = []
-        keys: list[tuple[int, bytes]] = []  # with the first key of each
-        for b in batches:
-            blob = b.filter(tk.pc.equal(b.column(0), BLOB))
-            rest = b.filter(tk.pc.equal(b.column(0), LATER))
-            if rest.num_rows:
-                yield rest
-            for top, what, data in zip(*(blob.column(c).to_pylist() for c in (3, 6, 2)), strict=True):
-                if what == FIRST:
-                    lines.append(data)
-                else:
-                    keys.append((top, data))
+    def of_part(lines: list[bytes], keys: list[tuple[int, bytes]], met: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         own = _gathered(lines, _LINE)
+        lines.clear()
         first, later = _local(own)
         yield _rows(LATER, len(later), y=own[2][later], n=own[3][later])
         docs = pa.array(own[1][first], mask=own[4][first] > 0)
         yield _rows(FIRST, len(first), x=own[0][first], y=own[2][first], z=docs, n=own[3][first])
-        del own, lines
+        del own
         step, ids, code, p, q = _gathered([data for _, data in keys], _KEY)
         if len(ids) == 0:
             return
@@ -495,17 +484,39 @@ def _compared(scattered: DataFrame, parts: int, similarity: float, near: int) ->
         key = np.cumsum(step, dtype=U64)
         start = np.cumsum(size) - size
         key += np.repeat(np.array([top for top, _ in keys], np.int64).view(U64) - key[start], size)
-        del step, keys
+        keys.clear()
+        del step
         order = _together(key, ids, code & 0x7FFF)
         key, ids, many, code, p, q = key[order], ids[order], code[order] >> 15, (code[order] & 0x7FFF).astype(np.int64), p[order].astype(np.int64), q[order].astype(np.int64)
         i, j, more, dense = _met(key, ids, code, p, q, many, similarity, near)
-        a, b, n, need = _counts(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), 1 + (many[i] & many[j]))
-        yield from _dealt(BLOB, tk.mix(a + tk.mix(b)), parts, [a, b, np.minimum(n, 255).astype(np.uint8), need.astype(np.uint8)])
+        met.append(_counts(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), 1 + (many[i] & many[j])))
         n = np.flatnonzero(more)
         packed = code[n] | (p[n] << 16) | (q[n] << 24) | (dense[n].astype(np.int64) << 32)
         yield _rows(DENSE, len(n), x=key[n], y=ids[n], z=packed, n=many[n])
 
-    return scattered.repartition("part").mapInArrow(made, FOUND)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task has several parts, whose keys differ, so that one is sorted at a time
+        lines: dict[int, list[bytes]] = {}
+        keys: dict[int, list[tuple[int, bytes]]] = {}  # with the first key of each
+        for b in batches:
+            blob = b.filter(tk.pc.equal(b.column(0), BLOB))
+            rest = b.filter(tk.pc.equal(b.column(0), LATER))
+            if rest.num_rows:
+                yield rest
+            for part, top, what, data in zip(*(blob.column(c).to_pylist() for c in (1, 3, 6, 2)), strict=True):
+                if what == FIRST:
+                    lines.setdefault(part, []).append(data)
+                else:
+                    keys.setdefault(part, []).append((top, data))
+        met: list[tuple[np.ndarray, ...]] = []
+        for part in sorted(lines.keys() | keys.keys()):
+            yield from of_part(lines.pop(part, []), keys.pop(part, []), met)
+        if met:
+            a, b, n, need = _counts(*(np.concatenate(c) for c in zip(*met, strict=True)))
+            del met
+            yield from _dealt(BLOB, tk.mix(a + tk.mix(b)), parts, [a, b, np.minimum(n, 255).astype(np.uint8), need.astype(np.uint8)])
+
+    return scattered.repartition("part").mapInArrow(cluster.releasing(made), FOUND)
 
 
 PAIRED = "a bigint, b bigint, n int, need int"
@@ -522,7 +533,7 @@ def _counted(found: DataFrame) -> DataFrame:
         blobs = [data for b in batches for data in b.column(1).to_pylist()]
         yield _paired(*_counts(*_gathered(blobs, _PAIR)))
 
-    return found.where(F.col("kind") == BLOB).select("part", "blob").repartition("part").mapInArrow(made, PAIRED)
+    return found.where(F.col("kind") == BLOB).select("part", "blob").repartition("part").mapInArrow(cluster.releasing(made), PAIRED)
 
 
 def _once(i: np.ndarray, j: np.ndarray, group: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -595,7 +606,7 @@ def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
             yield of_keys(pa.Table.from_batches(held))
 
     mixed = dense.groupBy("x").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("x")
-    return dense.join(mixed, "x").select("x", "y", "z", "n", "root").repartition("x").sortWithinPartitions("x").mapInArrow(made, PAIRED)
+    return dense.join(mixed, "x").select("x", "y", "z", "n", "root").repartition("x").sortWithinPartitions("x").mapInArrow(cluster.releasing(made), PAIRED)
 
 
 def _fetched(docs: DataFrame, spots: DataFrame) -> DataFrame:
@@ -620,7 +631,7 @@ def _fetched(docs: DataFrame, spots: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "part", "norm"])
 
     some, _ = cluster.split(cluster.row_id(docs.select("doc_id", "text")), "_rid", spots.select("rid").distinct())
-    rows = some.select("_rid", "text").mapInArrow(made, "rid bigint, part int, norm string")
+    rows = some.select("_rid", "text").mapInArrow(cluster.releasing(made), "rid bigint, part int, norm string")
     return rows.join(spots, ["rid", "part"]).groupBy("h").agg(F.first("norm").alias("norm"))
 
 
@@ -637,7 +648,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     for c in "ab":
         pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}")).hint("shuffle_hash"), c)
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(made, "a bigint, b bigint")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(cluster.releasing(made), "a bigint, b bigint")
 
 
 def _groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:

@@ -1,6 +1,8 @@
 """Near-duplicate documents, fuzzy lines and repeated passages against brute force."""
 
 import itertools
+import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +132,18 @@ def test_edit_distances():
     assert alike[true].all() and not alike.all()
 
 
+def test_trigrams_of_many_texts_take_little_memory():
+    """A batch of long pairs isn't taken apart at once."""
+    texts = ["".join(random.Random(k).choices("abcdefgh ", k=2000)) for k in range(3000)]
+    left, right = pa.array(texts), pa.array(texts[:1500] + texts[:1500])
+    tracemalloc.start()
+    found = edits.alike(left, right, np.full(3000, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[:1500].all() and not found[1500:].any()
+    assert peak < 64 << 20, peak
+
+
 def test_connected(spark):
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)] + [(None, 3), (7, 7)]
     out = {r.node: r.root for r in cluster.connected(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -24,6 +24,12 @@ LONG = 1000
 PIECE_BYTES = 1 << 20
 #: Columns between two looks at which pairs are done.
 LOOK = 32
+#: Classes of characters that a sketch counts: the letters a to z, and others by their numbers.
+KINDS = 32
+#: Bytes of a sketch: a count of each class, modulo 256, and the number of characters.
+SKETCH_BYTES = KINDS + 4
+#: Pairs of sketches that are compared at a time.
+SKETCHED = 1 << 16
 
 
 def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -83,6 +89,44 @@ def _alike(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(texts: pa.Array) -> pa.Array:
+    """A sketch of each text, by which :func:`far` tells pairs that are too far apart."""
+    size = np.asarray(tk.pc.utf8_length(texts), np.int64)
+    data, _ = tk.buffers(texts)
+    points = data if len(data) == size.sum() else np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    letter = (points >= 97) & (points < 123)
+    kind = np.where(letter, points - 97, 26 + points % (KINDS - 26)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(size)), size) * KINDS + kind, minlength=len(size) * KINDS)
+    made = np.concatenate([counts.reshape(-1, KINDS).astype(np.uint8), size.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    offsets = np.arange(len(size) + 1, dtype=np.int32) * SKETCH_BYTES
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(made.tobytes())])
+
+
+def sketch_rows(column: pa.Array) -> np.ndarray:
+    """The sketches of a column as rows of bytes."""
+    return tk.buffers(column)[0].reshape(-1, SKETCH_BYTES)
+
+
+def limits(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """The edits that texts of these sizes may be apart."""
+    return np.floor(np.maximum(left, right) * (1 - similarity) + 1e-9)
+
+
+def far(rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches of each pair of rows differ by more than the allowed edits can change.
+
+    An edit takes a character away, or adds one, or both.  True is certain, False isn't.
+    """
+    out = np.zeros(len(i), np.bool_)
+    for first in range(0, len(i), SKETCHED):
+        a, b = rows[i[first : first + SKETCHED]], rows[j[first : first + SKETCHED]]
+        m, n = (np.ascontiguousarray(v[:, KINDS:]).view("<u4")[:, 0].astype(np.int64) for v in (a, b))
+        apart = a[:, :KINDS] - b[:, :KINDS]
+        apart = np.minimum(apart, -apart).sum(1, dtype=np.int64)  # modulo 256, so no more than it is
+        out[first : first + SKETCHED] = apart + np.abs(m - n) > 2 * limits(m, n, similarity)
+    return out
+
+
 def within(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
     """Whether each pair of texts is at most ``most`` edits of single characters apart."""
     n = len(left)
@@ -155,8 +199,9 @@ def _batch(data: np.ndarray, at: np.ndarray, kinds: int, a: np.ndarray, b: np.nd
     place += band
     np.add.at(table, (line * kinds + data[index]) * wide + (place >> 6), U64(1) << (place & 63).astype(U64))
     line, place, index = _inside(at, b)
-    rows = np.zeros((end, len(b)), np.int64)  # of the shorter text's characters in the table, by column
-    rows[place, line] = (line * kinds + data[index]) * wide
+    spelt = np.zeros((end, len(b)), np.int32)  # the shorter text's characters, by column
+    spelt[place, line] = data[index]
+    start = np.arange(len(a)) * (kinds * wide)
     ahead = n - m + band  # the bit of the last cell's diagonal
     spot, shift = ahead // 64, (ahead % 64).astype(U64)
     sums = n - m
@@ -166,19 +211,22 @@ def _batch(data: np.ndarray, at: np.ndarray, kinds: int, a: np.ndarray, b: np.nd
     for r in range(band, width):
         ones[r // 64] |= U64(1 << (r % 64))
     vp, vn = [np.full(len(a), w) for w in ones], [np.zeros(len(a), U64) for _ in range(words)]
+    done = 0
     for j in range(end):
-        done = np.searchsorted(m, j, "right")
-        if done or j % LOOK == 0:
-            # texts that end here are decided, those over their limit are given up
-            out[live[:done]] = sums[:done] <= most[:done]
+        ended = int(np.searchsorted(m, j, "right"))
+        if ended > done:  # texts that end here are decided
+            out[live[done:ended]] = sums[done:ended] <= most[done:ended]
+            done = ended
+        if j % LOOK == 0:
+            # they go, and those over their limit are given up
             stay = np.flatnonzero((m > j) & (sums <= most))
             if len(stay) < len(m):
-                live, m, most, sums, spot, shift = (v[stay] for v in (live, m, most, sums, spot, shift))
-                rows = rows[:, stay]
+                live, start, m, most, sums, spot, shift = (v[stay] for v in (live, start, m, most, sums, spot, shift))
                 vp, vn = [v[stay] for v in vp], [v[stay] for v in vn]
-                if len(live) == 0:
-                    return out
-        own = rows[j] + (j >> 6)
+                done = 0
+        if done == len(live):
+            return out
+        own = start + spelt[j, live] * np.int64(wide) + (j >> 6)
         low, turn = [table[own + w] for w in range(words + 1)], j & 63
         d0, hp, carry = [], [], None
         for w in range(words):
@@ -214,5 +262,5 @@ def _batch(data: np.ndarray, at: np.ndarray, kinds: int, a: np.ndarray, b: np.nd
             p |= d0[w] & vp[w]
             vn[w] = down & hp[w]
             vp[w] = p
-    out[live] = sums <= most
+    out[live[done:]] = sums[done:] <= most[done:]
     return out

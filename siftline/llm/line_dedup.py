@@ -31,7 +31,8 @@ Keys go through one shuffle as packed arrays, not as rows, and are sorted in num
 sorted by size, so that each meets only those of sizes that ``SIMILARITY`` allows, and in which the key's words
 lie where they may after so many edits.  Where these are more than ``NEAR``, a line first meets one of them; what
 isn't in its group after that is compared too, so nothing is lost.  The edit distance of every candidate
-pair decides (:mod:`siftline.llm.edits`), but pairs whose lines are in one group already needn't be looked at.
+pair decides (:mod:`siftline.llm.edits`), but pairs whose lines are in one group already needn't be looked at,
+nor those whose counts of characters, a small sketch of each line, differ by more than the edits allowed can change.
 """
 
 from __future__ import annotations
@@ -548,7 +549,7 @@ def _once(i: np.ndarray, j: np.ndarray, group: np.ndarray, root: np.ndarray) ->
 
 
 def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
-    """The pairs of different groups that meet by a dense key of ``dense(x, y, z, n, root)``.
+    """The pairs of different groups that meet by a dense key of ``dense(x, y, z, n, sketch, root)``, but those that are far.
 
     ``few``: of every key one pair for each two groups that meet.
     """
@@ -559,6 +560,7 @@ def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
         ids = ids.view(U64)
         order = np.lexsort((ids, packed & 0xFFFF, key))
         key, ids, packed, many, root = key[order], ids[order], packed[order], many[order], root[order]
+        sketch = np.concatenate([edits.sketch_rows(c) for c in t.column("sketch").chunks])[order]
         code, p, q, flag = packed & 0xFFFF, (packed >> 16) & 255, (packed >> 24) & 255, packed >> 32
         _, group = _group(key)
         # of each key the lines outside its commonest group meet all in reach of their sizes
@@ -584,6 +586,8 @@ def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
             i, j = i[use], j[use]
             use = _near(i, j, code, p, q, similarity)
             i, j = i[use], j[use]
+            use = ~edits.far(sketch, i, j, similarity)
+            i, j = i[use], j[use]
             if few:
                 i, j = _once(i, j, group, root)
             found.append(i * len(key) + j)
@@ -606,12 +610,17 @@ def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
             yield of_keys(pa.Table.from_batches(held))
 
     mixed = dense.groupBy("x").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("x")
-    return dense.join(mixed, "x").select("x", "y", "z", "n", "root").repartition("x").sortWithinPartitions("x").mapInArrow(cluster.releasing(made), PAIRED)
+    return dense.join(mixed, "x").select("x", "y", "z", "n", "sketch", "root").repartition("x").sortWithinPartitions("x").mapInArrow(cluster.releasing(made), PAIRED)
+
 
+def _fetched(docs: DataFrame, spots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``(h, norm, sketch)``: the normalised lines at ``spots(h, rid, part)``, and few others; and the tables that it reads.
 
-def _fetched(docs: DataFrame, spots: DataFrame) -> DataFrame:
-    """``(h, norm)``: the normalised lines at ``spots(h, rid, part)``."""
-    table = docs.sparkSession.sparkContext.broadcast(cluster.position_filter(spots))
+    Bit tables of the places and of the hashes tell what to fetch, so that no text goes through a shuffle.
+    """
+    context = docs.sparkSession.sparkContext
+    table = context.broadcast(cluster.position_filter(spots))
+    lines = context.broadcast(cluster.position_filter(spots.select(F.col("h").alias("rid"), F.lit(0).alias("part"))))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -626,26 +635,48 @@ def _fetched(docs: DataFrame, spots: DataFrame) -> DataFrame:
                 hit = np.flatnonzero(cluster.in_filter(table.value, line_rid, number))
                 flat = np.where(tk.word_mask(data), data, np.uint8(32)).tobytes()
                 ends = starts[hit + 1].tolist()
-                texts = [b" ".join(flat[x:y].split()).decode() for x, y in zip(starts[hit].tolist(), ends, strict=True)]
-                columns = [pa.array(line_rid[hit]), pa.array(number[hit].astype(np.int32)), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["rid", "part", "norm"])
+                texts = pa.array([b" ".join(flat[x:y].split()).decode() for x, y in zip(starts[hit].tolist(), ends, strict=True)], pa.string())
+                w = tk.words(texts, lower=False)
+                h = sequence_hashes(w.hashes, w.at).view(np.int64)
+                mine = pa.array(np.flatnonzero(cluster.in_filter(lines.value, h, np.zeros(len(h), np.int64))))
+                texts = texts.take(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(h).take(mine), texts, edits.sketches(texts)], ["h", "norm", "sketch"])
 
     some, _ = cluster.split(cluster.row_id(docs.select("doc_id", "text")), "_rid", spots.select("rid").distinct())
-    rows = some.select("_rid", "text").mapInArrow(cluster.releasing(made), "rid bigint, part int, norm string")
-    return rows.join(spots, ["rid", "part"]).groupBy("h").agg(F.first("norm").alias("norm"))
+    rows = cluster.written(some.select("_rid", "text").mapInArrow(cluster.releasing(made), "h bigint, norm string, sketch binary"))
+    # lines of repeated rows, and later occurrences that pass by chance, are there more than once
+    twice = cluster.written(rows.groupBy("h").count().where("count > 1").select(F.col("h").alias("rid")))
+    again, once = cluster.split(rows, "h", twice)
+    again = cluster.written(again.groupBy("h").agg(F.first("norm").alias("norm"), F.first("sketch").alias("sketch")))
+    return once.union(again), [rows, twice, again]
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The ``(a, b, n, need)`` of pairs whose lines aren't told to be far apart by their sketches."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.concatenate([edits.sketch_rows(b.column(c)) for c in (4, 5)])
+            i = np.arange(b.num_rows)
+            yield b.select(["a", "b", "n", "need"]).filter(pa.array(~edits.far(rows, i, i + b.num_rows, similarity)))
+
+    for c in "ab":
+        pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("sketch").alias(f"s{c}")), c)
+    return pairs.select("a", "b", "n", "need", "sa", "sb").mapInArrow(made, PAIRED)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The ``(a, b)`` of pairs whose lines are similar."""
+    """The ``(a, b)`` of the written ``pairs`` whose lines are similar."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = tk.strings(b.column(2)), tk.strings(b.column(3))
-            most = np.floor(np.maximum(*(tk.pc.utf8_length(t).to_numpy() for t in (left, right))) * (1 - similarity) + 1e-9)
+            most = edits.limits(*(tk.pc.utf8_length(t).to_numpy() for t in (left, right)), similarity)
             maybe = np.flatnonzero(edits.alike(left, right, most))
             true = edits.within(left.take(pa.array(maybe)), right.take(pa.array(maybe)), most[maybe])
             yield b.select(["a", "b"]).take(pa.array(maybe[true]))
 
+    texts, _ = cluster.split(texts.select("h", "norm"), "h", pairs.select(F.col("a").alias("rid")).union(pairs.select("b")))
     for c in "ab":
         pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}")).hint("shuffle_hash"), c)
     return pairs.select("a", "b", "ta", "tb").mapInArrow(cluster.releasing(made), "a bigint, b bigint")
@@ -655,45 +686,69 @@ def _groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """``(node, root)`` of the lines that are grouped with others."""
     counted = cluster.written(_counted(found))
     enough = counted.where("n >= need")
-    dense = found.where(F.col("kind") == DENSE)
+    dense = found.where(F.col("kind") == DENSE).select("x", "y", "z", "n")
     ids = enough.select(F.col("a").alias("h")).union(enough.select(F.col("b").alias("h"))).union(dense.select(F.col("y").alias("h"))).distinct()
     ids = cluster.written(ids)
     first, _ = cluster.split(found.where(F.col("kind") == FIRST), "x", ids.select(F.col("h").alias("rid")))
     spots = first.select(F.col("x").alias("h"), F.col("y").alias("rid"), F.col("n").alias("part"))
     spots = cluster.written(spots.join(ids, "h", "left_semi"))
-    texts = cluster.written(_fetched(docs, spots))
+    texts, fetched = _fetched(docs, spots)
+    some = not dense.isEmpty()
+    met = cluster.written(_plausible(counted if some else enough, texts, similarity))
+    enough = met.where("n >= need")
+    dense = cluster.written(dense.join(texts.select(F.col("h").alias("y"), "sketch"), "y").select("x", "y", "z", "n", "sketch"))
     # of each line first the pair that shares most keys
     best = cluster.written(enough.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b"))
     edges = cluster.written(_similar(best, texts, similarity))
     groups = cluster.written(cluster.connected(edges))
     cluster.discard(edges)
-    some, tried, made = not dense.isEmpty(), best, []
-    # then one pair for each two groups, and at last all pairs that aren't in one group yet
+    tried, made = best, []
+    # then one pair for each two groups, and at last all pairs that aren't in one group yet, again one for each two at first
     for few in (True, False):
         rest = enough
         if some:
-            met = counted.union(_across(_rooted(dense.select("x", "y", "z", "n"), groups, "y", "root"), similarity, few))
-            rest = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need")
+            rest = met.union(_across(_rooted(dense, groups, "y", "root"), similarity, few))
+            rest = rest.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need")
         rest = _rooted(_rooted(rest.select("a", "b", "n"), groups, "a", "ra"), groups, "b", "rb").where("ra <> rb")
         if few:
-            rest = rest.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
-            rest = rest.agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("n"), "a", "b")).alias("p")).select("p.a", "p.b", "ra", "rb")
+            rest = _one_each(rest)
         else:
             rest = rest.join(tried, ["a", "b"], "left_anti")
-        rest = cluster.written(rest.select("a", "b", "ra", "rb"))
+        rest = cluster.written(rest.select("a", "b", "n", "ra", "rb"))
         tried = tried.union(rest.select("a", "b"))
         made += [rest]
-        true = _similar(rest.select("a", "b"), texts, similarity)
-        links = cluster.written(true.join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        joined = cluster.connected(links)
-        merged = groups.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
-        merged = merged.select("node", F.coalesce("new", "root").alias("root")).union(joined.select("node", "root"))
-        before, groups = groups, cluster.written(merged.groupBy("node").agg(F.min("root").alias("root")))
-        cluster.discard(before, links)
-    cluster.discard(counted, ids, spots, texts, best, *made)
+        if not few:
+            own = cluster.written(_one_each(rest))
+            groups, joined = _joined(groups, own, texts, similarity)
+            rest = rest.join(own, ["a", "b"], "left_anti").select("a", "b", "n", "ra", "rb")
+            for c in ("ra", "rb"):
+                rest = _rooted(rest, joined, c, "root").drop(c).withColumnRenamed("root", c)
+            rest = cluster.written(rest.where("ra <> rb").select("a", "b", "n", "ra", "rb"))
+            made += [own, joined, rest]
+        groups, joined = _joined(groups, rest, texts, similarity)
+        made += [joined]
+    cluster.discard(counted, ids, spots, met, dense, best, *fetched, *made)
     return groups
 
 
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of ``(a, b, n, ra, rb)`` the pair of most shared keys for each two groups."""
+    pairs = pairs.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
+    return pairs.agg(F.min_by(F.struct("a", "b", "n"), F.struct(-F.col("n"), "a", "b")).alias("p")).select("p.a", "p.b", "p.n", "ra", "rb")
+
+
+def _joined(groups: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The groups that result where pairs ``(a, b, ra, rb)`` are similar, in place of ``groups``; and ``(node, root)`` of those that were joined."""
+    true = _similar(pairs.select("a", "b"), texts, similarity)
+    links = cluster.written(true.join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    joined = cluster.written(cluster.connected(links))
+    merged = groups.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
+    merged = merged.select("node", F.coalesce("new", "root").alias("root")).union(joined.select("node", "root"))
+    after = cluster.written(merged.groupBy("node").agg(F.min("root").alias("root")))
+    cluster.discard(groups, links)
+    return after, joined
+
+
 def _rooted(rows: DataFrame, groups: DataFrame, name: str, root: str) -> DataFrame:
     """``rows`` with the group of a line as a column; a line in none is its own."""
     return rows.join(groups.select(F.col("node").alias(name), F.col("root").alias(root)), name, "left").withColumn(root, F.coalesce(root, name))

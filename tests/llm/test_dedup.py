@@ -144,6 +144,54 @@ def test_trigrams_of_many_texts_take_little_memory():
     assert peak < 64 << 20, peak
 
 
+def test_sketches_tell_no_similar_texts_apart():
+    texts = []
+    for _ in range(300):
+        base = " ".join(_text(int(rng.integers(1, 90)))) + rng.choice(["", " é", " 日本"])
+        other = list(base)
+        for _ in range(int(rng.integers(0, 2 + len(base) // 10))):
+            at = int(rng.integers(len(other) + 1))
+            other[at : at + int(rng.integers(2))] = ["é", "x", "日", ""][int(rng.integers(4))]
+        texts += [base, "".join(other)]
+    texts += ["", "", "a" * 300, "a" * 44, "a" * 300, "a" * 300]
+    i, j = np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    rows = edits.sketch_rows(edits.sketches(pa.array(texts)))
+    most = edits.limits(*(np.array([len(texts[x]) for x in k]) for k in (i, j)), 0.9)
+    true = edits.within(pa.array(texts[::2]), pa.array(texts[1::2]), most)
+    far = edits.far(rows, i, j, 0.9)
+    assert true.sum() > 100 and not (far & true).any() and far[-2]
+    assert edits.far(rows, i[:300], np.roll(j[:300], 1), 0.9).mean() > 0.9
+    assert len(edits.sketches(pa.array([], pa.string()))) == 0
+
+
+def test_lines_of_other_characters_are_not_compared(spark, monkeypatch):
+    """Lines that share a piece meet, but no text is fetched for pairs that their characters tell apart."""
+    made = ["".join(rng.choice(list("abcdefghiklm" if k % 2 else "nopqrstuvwxyz"), 60)) for k in range(40)]
+    lines = [f"sharedpieces here {m[:30]} {m[30:]}" for m in made]
+    texts = [x for line in lines for x in (line, line[:-1] + "9")] + ["sharedpieces here of one"] * 2
+    seen, before = [], line_dedup._similar
+
+    def similar(pairs, texts, similarity):
+        seen.append(pairs.count())
+        return before(pairs, texts, similarity)
+
+    monkeypatch.setattr(line_dedup, "_similar", similar)
+    out = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == set(range(1, 82, 2))
+    assert sum(seen) < 500, seen
+
+
+def test_lines_are_fetched_once(spark):
+    texts = ["one two three\nfour five", "One two, three!", "é日本 x"]
+    docs = spark.createDataFrame([(k % 3, texts[k % 3]) for k in range(9)], "doc_id long, text string")
+    w = tk.words(pa.array(["one two three", "four five", "é日本 x"]))
+    h = line_dedup.sequence_hashes(w.hashes, w.at).view(np.int64).tolist()
+    rid = {r.doc_id: r._rid for r in cluster.row_id(docs).collect()}
+    spots = spark.createDataFrame([(h[0], rid[0], 0), (h[1], rid[0], 1), (h[2], rid[2], 0)], "h long, rid long, part int")
+    found = sorted((r.h, r.norm) for r in line_dedup._fetched(docs, spots)[0].collect())
+    assert found == sorted(zip(h, ["one two three", "four five", "é日本 x"], strict=True))
+
+
 def test_connected(spark):
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)] + [(None, 3), (7, 7)]
     out = {r.node: r.root for r in cluster.connected(spark.createDataFrame(edges, "a long, b long")).collect()}

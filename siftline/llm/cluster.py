@@ -167,12 +167,12 @@ def row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text")))
 
 
-def position_filter(wanted: DataFrame) -> np.ndarray:
+def position_filter(wanted: DataFrame, bits: int | None = None) -> np.ndarray:
     """A bit table of the ``(rid, part)`` positions: all of them are in it, and some others by chance.
 
-    It takes 16 bits a position up to ``FILTER_BITS``; beyond, more others pass, none is lost.
+    It takes ``bits``, or 16 a position up to ``FILTER_BITS``; beyond, more others pass, none is lost.
     """
-    bits = _bits(wanted)
+    bits = bits or _bits(wanted)
     at = F.col("rid").bitwiseXOR(F.col("part").cast("long") * PART_FACTOR).bitwiseAND(F.lit(bits - 1))
     made = wanted.select(F.shiftright(at, 6).cast("int").alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
     made = made.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
@@ -198,7 +198,12 @@ def split(docs: DataFrame, rid: str, wanted: DataFrame) -> tuple[DataFrame, Data
 
 
 def _bits(wanted: DataFrame) -> int:
-    bits, most = 1 << 16, min(FILTER_BITS, 16 * wanted.count())
+    return table_bits(wanted.count())
+
+
+def table_bits(count: int, each: int = 16) -> int:
+    """The bits of a table of so many positions."""
+    bits, most = 1 << 16, min(FILTER_BITS, each * count)
     while bits < most:
         bits *= 2
     return bits

@@ -37,12 +37,13 @@ nor those whose counts of characters, a small sketch of each line, differ by mor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftline.llm import cluster, edits
 from siftline.llm import textkit as tk
@@ -75,6 +76,9 @@ FLUSH = 1 << 20
 KEY_BITS = 48
 #: Steps of the logarithm by which sizes are told.
 LOG = 1024
+#: Bits for each place in the tables by which the lines that go are told from others, and places that they leave open at most.
+TOLD_BITS = 64
+OPEN = 1 << 16
 
 U64 = np.uint64
 
@@ -754,33 +758,96 @@ def _rooted(rows: DataFrame, groups: DataFrame, name: str, root: str) -> DataFra
     return rows.join(groups.select(F.col("node").alias(name), F.col("root").alias(root)), name, "left").withColumn(root, F.coalesce(root, name))
 
 
-def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
-    """``(rid, lines)``: of each row that loses lines, these lines' numbers."""
+def _marks(rid: np.ndarray, line: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of the places of lines, other ones on each level."""
+    return tk.mix(rid.view(U64) ^ tk.mix(line.astype(U64) + U64(level << 32))).view(np.int64)
+
+
+def _in_table(table: np.ndarray, rid: np.ndarray, line: np.ndarray, level: int) -> np.ndarray:
+    return cluster.in_filter(table, _marks(rid, line, level), np.zeros(len(rid), np.int64))
+
+
+def _going(told: list, rid: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Whether the lines with words at these places go, as :func:`_told` tells."""
+    *tables, (open_rid, open_line) = told
+    out, at = np.zeros(len(rid), np.bool_), np.arange(len(rid))
+    for level, table in enumerate(tables):
+        at = at[_in_table(table, rid[at], line[at], level)]
+        out[at] = level % 2 == 0
+    if len(at) and len(open_rid):
+        lost = set(zip(open_rid.tolist(), open_line.tolist(), strict=True))
+        out[at] = [place in lost for place in zip(rid[at].tolist(), line[at].tolist(), strict=True)]
+    return out
+
+
+def _told(lost: DataFrame, first: DataFrame, most: int = OPEN) -> list:
+    """Broadcast bit tables that tell the places ``lost(rid, line, first)`` from all others; and the ``most`` places that they leave open, or fewer.
+
+    ``first(rid, line)``: the places of first occurrences; that of a lost one has ``first`` in ``lost``.  The first table holds the lost places, the
+    second the others that pass it by chance, the third the lost ones that pass the second, and so on, two at a time; the last item holds the lost ones that pass all.
+    """
+    context = lost.sparkSession.sparkContext
+    told, sets = [], [lost, first]
+    while len(told) == 0 or sets[0].count() > most:
+        for own, other in ((0, 1), (1, 0)):
+            level = len(told)
+
+            def marked(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    mark = _marks(b.column(0).to_numpy(), b.column(1).to_numpy(), level)
+                    yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(np.zeros(len(mark), np.int32))], ["rid", "part"])
+
+            bits = cluster.table_bits(sets[own].count(), TOLD_BITS)
+            table = context.broadcast(cluster.position_filter(sets[own].select("rid", "line").mapInArrow(marked, "rid bigint, part int"), bits))
+
+            def passing(batches: Iterator[pa.RecordBatch], level: int = level, table=table) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+                for b in batches:
+                    yield b.filter(pa.array(_in_table(table.value, b.column(0).to_numpy(), b.column(1).to_numpy(), level)))
+
+            rest = sets[other].select("rid", "line").mapInArrow(passing, "rid bigint, line int")
+            if level == 0:
+                rest = rest.join(lost.where("first").select("rid", "line"), ["rid", "line"], "left_anti")
+            sets[other] = cluster.written(rest)
+            told.append(table)
+    left = sets[0].toArrow()
+    cluster.discard(*sets)
+    return [*told, context.broadcast((left.column("rid").to_numpy(), left.column("line").to_numpy()))]
+
+
+def _lost(docs: DataFrame, similarity: float, near: int = NEAR) -> list:
+    """What :func:`_told` says of the lines that go."""
     parts = max(16, 8 * cluster.partitions(docs))
     found = cluster.written(_compared(_scattered(docs, parts), parts, similarity, near))
     groups = _groups(docs, found, similarity)
-    first, _ = cluster.split(found.where(F.col("kind") == FIRST), "x", groups.select(F.col("node").alias("rid")))
+    every = found.where(F.col("kind") == FIRST)
+    first, _ = cluster.split(every, "x", groups.select(F.col("node").alias("rid")))
     first = first.select("x", F.struct(F.isnull("z").alias("none"), F.col("z").alias("doc"), F.col("y").alias("rid"), F.col("n").alias("line")).alias("p"))
     placed = cluster.written(first.join(groups, first.x == groups.node).select("root", "p"))
     kept = placed.groupBy("root").agg(F.min("p").alias("kept"))
-    lost = placed.join(kept, "root").where("p <> kept").select("p.rid", "p.line")
-    lost = lost.union(found.where(F.col("kind") == LATER).select(F.col("y").alias("rid"), F.col("n").alias("line")))
-    out = cluster.written(lost.groupBy("rid").agg(F.collect_set("line").alias("lines")))
-    cluster.discard(found, groups, placed)
-    return out
+    lost = placed.join(kept, "root").where("p <> kept").select("p.rid", "p.line", F.lit(True).alias("first"))
+    lost = cluster.written(lost.union(found.where(F.col("kind") == LATER).select(F.col("y").alias("rid"), F.col("n").alias("line"), F.lit(False).alias("first"))))
+    told = _told(lost, every.select(F.col("y").alias("rid"), F.col("n").alias("line")))
+    cluster.discard(found, groups, placed, lost)
+    return told
 
 
-def _cleaned(column: pa.Array, lost: pa.Array) -> Iterator[tuple[int, int, int, bool, str]]:
-    """Row, lines, removed lines, whether it goes altogether, and what remains of the rows that lose lines."""
+def _cleaned(column: pa.Array, going: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, int, bool, str]]:
+    """Row, lines, removed lines, whether it goes altogether, and what remains of the rows that lose lines.
+
+    ``going(rows, lines)`` tells of lines by their numbers which ones go; those without words stay.
+    """
     for first, piece in tk.chunks(column):
-        data, row_at = tk.buffers(piece)
+        _, row_first = line_starts(*tk.buffers(piece))
+        rows = np.repeat(np.arange(len(piece)), np.diff(row_first))
+        lost = going(first + rows, np.arange(len(rows)) - row_first[rows])
+        hit = tk.row_sums(lost, row_first) > 0
+        if not hit.any():
+            continue
+        lost, hit = lost[hit[rows]], np.flatnonzero(hit)
+        data, row_at = tk.buffers(piece.take(pa.array(hit)))
         starts, row_first = line_starts(data, row_at)
         full = np.diff(np.searchsorted(tk.runs(tk.word_mask(data), starts)[0], starts)) > 0
-        own = lost.slice(first, len(piece))
-        stay = np.ones(len(full), np.bool_)
-        # null lists have no values, and equal offsets
-        sizes = np.nan_to_num(tk.pc.list_value_length(own).to_numpy(zero_copy_only=False)).astype(np.int64)
-        stay[np.repeat(row_first[:-1], sizes) + np.asarray(own.flatten(), np.int64)] = False
+        stay = ~(lost & full)
         gone = tk.row_sums(~stay, row_first)
         left = tk.row_sums(full & stay, row_first)
         raw = data.tobytes()
@@ -788,7 +855,22 @@ def _cleaned(column: pa.Array, lost: pa.Array) -> Iterator[tuple[int, int, int,
             lines = row_first[r] + np.flatnonzero(stay[row_first[r] : row_first[r + 1]])
             ends = starts[lines + 1] - (lines + 1 < row_first[r + 1])  # without the line feed
             text = b"\n".join([raw[x:y] for x, y in zip(starts[lines].tolist(), ends.tolist(), strict=True)]).decode()
-            yield first + r, int(row_first[r + 1] - row_first[r]), int(gone[r]), bool(left[r] == 0), text
+            yield first + int(hit[r]), int(row_first[r + 1] - row_first[r]), int(gone[r]), bool(left[r] == 0), text
+
+
+def _without(docs: DataFrame, similarity: float, made: Callable[[pa.RecordBatch, list[tuple]], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """``made(batch, found)`` of the rows of ``docs``, with what :func:`_cleaned` finds in each batch; no text goes through a shuffle."""
+    names, at = docs.columns, docs.columns.index("text")
+    lost = _lost(docs, similarity)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = [t.value for t in lost]
+        for b in batches:
+            rid = b.column(len(names)).to_numpy()
+            yield made(b, list(_cleaned(b.column(at), lambda rows, lines, rid=rid: _going(told, rid[rows], lines))))
+
+    rid = cluster.free(docs, "_rid")
+    return cluster.row_id(docs, rid).select(*names, rid).mapInArrow(cluster.releasing(every), schema)
 
 
 REPORT = "doc_id bigint, n_lines bigint, removed_lines bigint, dropped boolean, clean_text string"
@@ -802,19 +884,14 @@ def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ids last.  Other columns aren't read.
     """
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = list(_cleaned(b.column(1), b.column(2)))
-            rows, *rest = list(zip(*found, strict=True)) if found else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-            ids = b.column(0).cast(pa.int64()).take(pa.array(rows, pa.int64()))
-            columns = [ids, *(pa.array(v, k) for v, k in zip(rest, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "removed_lines", "dropped", "clean_text"])
+    def made(b: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        rows, *rest = list(zip(*found, strict=True)) if found else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        ids = b.column(0).cast(pa.int64()).take(pa.array(rows, pa.int64()))
+        columns = [ids, *(pa.array(v, k) for v, k in zip(rest, kinds, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "removed_lines", "dropped", "clean_text"])
 
-    docs = docs.select("doc_id", "text")
-    lost = lost_lines(docs, similarity)
-    hit, _ = cluster.split(cluster.row_id(docs), "_rid", lost.select("rid"))
-    return hit.join(lost, F.col("_rid") == lost.rid).select("doc_id", "text", "lines").mapInArrow(made, REPORT)
+    return _without(docs.select("doc_id", "text"), similarity, made, REPORT)
 
 
 def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -824,19 +901,12 @@ def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     names, at = docs.columns, docs.columns.index("text")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = list(_cleaned(b.column(at), b.column(len(names))))
-            mask, gone = np.zeros(b.num_rows, np.bool_), np.zeros(b.num_rows, np.bool_)
-            mask[[f[0] for f in found]] = True
-            gone[[f[0] for f in found if f[3]]] = True
-            text = tk.pc.replace_with_mask(b.column(at), pa.array(mask), pa.array([f[4] for f in found], b.column(at).type))
-            columns = [text if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(~gone))
-
-    lost = lost_lines(docs, similarity)
-    rid, lines = cluster.free(docs, "_rid"), cluster.free(docs, "_lines")
-    hit, rest = cluster.split(cluster.row_id(docs, rid), rid, lost.select("rid"))
-    lost = lost.select(F.col("rid").alias(rid), F.col("lines").alias(lines))
-    changed = hit.join(lost, rid, "left").select(*names, lines).mapInArrow(made, docs.schema)
-    return rest.select(names).union(changed)
+    def made(b: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        mask, gone = np.zeros(b.num_rows, np.bool_), np.zeros(b.num_rows, np.bool_)
+        mask[[f[0] for f in found]] = True
+        gone[[f[0] for f in found if f[3]]] = True
+        text = tk.pc.replace_with_mask(b.column(at), pa.array(mask), pa.array([f[4] for f in found], b.column(at).type))
+        columns = [text if i == at else b.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(~gone))
+
+    return _without(docs, similarity, made, docs.schema)

@@ -192,6 +192,27 @@ def test_lines_are_fetched_once(spark):
     assert found == sorted(zip(h, ["one two three", "four five", "é日本 x"], strict=True))
 
 
+@pytest.mark.parametrize("most", [100, 1 << 16])
+def test_places_of_lost_lines_are_told_exactly(spark, monkeypatch, most):
+    monkeypatch.setattr(cluster, "FILTER_BITS", 1 << 16)  # so small that others pass by chance
+    made = np.random.default_rng(3)
+    rid, line, n = made.integers(-(1 << 63), 1 << 63, 20000).repeat(4), np.tile(np.arange(4), 20000), 80000
+    goes, later = made.random(n) < 0.3, made.random(n) < 0.5
+    lost = pa.table({"rid": rid[goes], "line": line[goes].astype(np.int32), "first": ~later[goes]})
+    first = pa.table({"rid": rid[~(goes & later)], "line": line[~(goes & later)].astype(np.int32)})
+    told = [t.value for t in line_dedup._told(cluster.written(spark.createDataFrame(lost)), spark.createDataFrame(first), most)]
+    assert np.array_equal(line_dedup._going(told, rid, line), goes)
+    assert len(told[-1][0]) <= most and (most > 100 or len(told) > 3)
+
+
+def test_no_text_is_shuffled_to_take_lines_away(spark):
+    texts = [f"{' '.join(_text(12))}\n\n{' '.join(_text(12))}" for _ in range(50)]
+    docs = cluster.written(spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string"))
+    for made in (line_dedup.clean(docs), line_dedup.report(docs)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 50
+
+
 def test_connected(spark):
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)] + [(None, 3), (7, 7)]
     out = {r.node: r.root for r in cluster.connected(spark.createDataFrame(edges, "a long, b long")).collect()}

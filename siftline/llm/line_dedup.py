@@ -77,7 +77,7 @@ KEY_BITS = 48
 #: Steps of the logarithm by which sizes are told.
 LOG = 1024
 #: Bits for each place in the tables by which the lines that go are told from others, and places that they leave open at most.
-TOLD_BITS = 64
+TOLD_BITS = 32
 OPEN = 1 << 16
 
 U64 = np.uint64
@@ -90,10 +90,9 @@ def line_starts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """
     feeds = np.flatnonzero(data == 10)
     rows = np.searchsorted(at, feeds, "right") - 1
-    starts = np.concatenate((at[:-1], feeds + 1))
-    order = np.lexsort((starts, np.concatenate((np.arange(len(at) - 1), rows))))
+    starts = np.sort(np.concatenate((at[:-1], feeds + 1)))
     first = np.concatenate(([0], np.cumsum(1 + np.bincount(rows, minlength=len(at) - 1))))
-    return np.append(starts[order], len(data)), first
+    return np.append(starts, len(data)), first
 
 
 def sequence_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -278,19 +277,20 @@ def _dealt(kind: int, key: np.ndarray, parts: int, columns: list[np.ndarray], ke
     blob ends where that takes more than 32 bits.
     """
     order = np.argsort(key)
+    key, columns = key[order], [c[order] for c in columns]
     if keyed:  # most keys of lines that occur again go
-        new = np.ones(len(order), np.bool_)
-        new[1:] = (key[order[1:]] != key[order[:-1]]) | (columns[0][order[1:]] != columns[0][order[:-1]])
-        order = order[new]
-    part = (((key[order] >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+        new = np.ones(len(key), np.bool_)
+        new[1:] = (key[1:] != key[:-1]) | (columns[0][1:] != columns[0][:-1])
+        if not new.all():
+            key, columns = key[new], [c[new] for c in columns]
+    part = (((key >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
     cut = part[1:] != part[:-1]
-    columns = [c[order] for c in columns]
     if keyed:
-        top = key[order] >> U64(64 - KEY_BITS)
+        top = key >> U64(64 - KEY_BITS)
         step = np.diff(top, prepend=U64(0))
         cut |= step[1:] >> U64(32) > 0
-    start = np.concatenate(([0], np.flatnonzero(cut) + 1)) if len(order) else np.zeros(0, np.int64)
-    edge = np.append(start, len(order)).tolist()
+    start = np.concatenate(([0], np.flatnonzero(cut) + 1)) if len(key) else np.zeros(0, np.int64)
+    edge = np.append(start, len(key)).tolist()
     if keyed:
         step[start] = 0
         columns = [step.astype(np.uint32), *columns]
@@ -562,7 +562,12 @@ def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
     def of_keys(t: pa.Table) -> pa.RecordBatch:
         key, ids, packed, many, root = (np.asarray(t.column(c).to_numpy()) for c in ("x", "y", "z", "n", "root"))
         ids = ids.view(U64)
-        order = np.lexsort((ids, packed & 0xFFFF, key))
+        new, group = _group(key)  # keys whose lines are in one group have nothing to compare
+        start = np.flatnonzero(new)
+        mixed = np.flatnonzero((np.minimum.reduceat(root, start) < np.maximum.reduceat(root, start))[group])
+        order = mixed[np.lexsort((ids[mixed], packed[mixed] & 0xFFFF, key[mixed]))]
+        if len(order) == 0:
+            return _paired(ids[:0], ids[:0], root[:0], root[:0])
         key, ids, packed, many, root = key[order], ids[order], packed[order], many[order], root[order]
         sketch = np.concatenate([edits.sketch_rows(c) for c in t.column("sketch").chunks])[order]
         code, p, q, flag = packed & 0xFFFF, (packed >> 16) & 255, (packed >> 24) & 255, packed >> 32
@@ -613,8 +618,7 @@ def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
         if held:
             yield of_keys(pa.Table.from_batches(held))
 
-    mixed = dense.groupBy("x").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("x")
-    return dense.join(mixed, "x").select("x", "y", "z", "n", "sketch", "root").repartition("x").sortWithinPartitions("x").mapInArrow(cluster.releasing(made), PAIRED)
+    return dense.select("x", "y", "z", "n", "sketch", "root").repartition("x").sortWithinPartitions("x").mapInArrow(cluster.releasing(made), PAIRED)
 
 
 def _fetched(docs: DataFrame, spots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

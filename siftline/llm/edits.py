@@ -1,8 +1,9 @@
 """Edit distance of many pairs at a time: banded bit-parallel columns (Hyyrö, 2003) over numpy.
 
-Bit r of a column j stands for row j - K + r, so that a word of 64 bits goes down the diagonal and holds
-all cells that ``K`` edits can reach.  The distance is summed along the diagonal of the last cell, on which
-it never falls; so a pair is given up as soon as its sum exceeds its limit.
+Bit r of a column j stands for row j - K + r, so that a word of 64 bits goes down the diagonal.  Of k edits those that
+leave the diagonals between the first and the last cell must come back, so K is half of what k exceeds these by, and
+words hold the k + 1 diagonals on which all cells lie.  What both texts share at their ends isn't looked at.  The distance is
+summed along the diagonal of the last cell, on which it never falls; so a pair is given up as soon as its sum exceeds its limit.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ TABLE_BYTES = 16 << 20
 #: Classes of trigrams by which pairs are told to be too far apart, and pairs that are so at a time.
 PROFILE_BITS = 9
 TOGETHER = 256
-#: Characters of texts, from which on each pair is compared by itself, in whole numbers of any length.
-LONG = 1000
+#: Pairs for each word of a column and one more, below which each pair is compared by itself, in whole numbers of any length.
+FEW = 20
 #: Bytes of texts whose trigrams are counted at a time; a longer pair is taken whole.
 PIECE_BYTES = 1 << 20
+#: Characters by which texts are told to share their ends at a time.
+SHARED = 1 << 17
 #: Columns between two looks at which pairs are done.
 LOOK = 32
 #: Classes of characters that a sketch counts: the letters a to z, and others by their numbers.
@@ -43,12 +46,25 @@ def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return number[points], np.concatenate(([0], np.cumsum(size))), len(seen)
 
 
-def _inside(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _inside(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every character of these texts: which of them it is in, its place there, and its index."""
-    size = at[rows + 1] - at[rows]
-    line = np.repeat(np.arange(len(rows)), size)
+    line = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-    return line, place, at[rows][line] + place
+    return line, place, np.repeat(start, size) + place
+
+
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
+    """How many characters of each pair are the same from ``a`` and ``b`` on, of ``size`` at most, as one goes by ``step``."""
+    out, sums, first = np.zeros(len(size), np.int64), np.cumsum(size), 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(sums, sums[first] + SHARED, "right")))
+        x, y, own = a[first:last], b[first:last], size[first:last]
+        start = np.cumsum(own) - own
+        place = (np.arange(own.sum()) - np.repeat(start, own)) * step
+        other = np.append(np.flatnonzero(data[np.repeat(x, own) + place] != data[np.repeat(y, own) + place]), len(place))
+        out[first:last] = np.minimum(other[np.searchsorted(other, start)] - start, own)
+        first = last
+    return out
 
 
 def alike(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
@@ -129,51 +145,53 @@ def far(rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np
 
 def within(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
     """Whether each pair of texts is at most ``most`` edits of single characters apart."""
-    n = len(left)
+    pairs = len(left)
     data, at, kinds = codes(pa.concat_arrays([tk.strings(left), tk.strings(right)]))
     size = np.diff(at)
-    a, b = np.arange(n), np.arange(n) + n
+    a, b = np.arange(pairs), np.arange(pairs) + pairs
     swap = size[a] < size[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)  # a is the longer
     most = np.asarray(most, np.int64)
-    out = np.zeros(n, np.bool_)
+    out = np.zeros(pairs, np.bool_)
     todo = np.flatnonzero(size[a] - size[b] <= most)
-    out[todo[size[b[todo]] == 0]] = True
-    todo = todo[size[b[todo]] > 0]
-    for i in todo[size[a[todo]] >= LONG].tolist():
-        out[i] = _single(data[at[a[i]] : at[a[i] + 1]], data[at[b[i]] : at[b[i] + 1]], int(most[i]))
-    todo = todo[size[a[todo]] < LONG]
-    todo = todo[np.argsort(size[b[todo]], kind="stable")]
+    a, b, most = a[todo], b[todo], most[todo]
+    n, m, a, b = size[a], size[b], at[a], at[b]
+    head = _same(data, a, b, m, 1)
+    tail = _same(data, a + n - 1, b + m - 1, m - head, -1)
+    a, b, n, m = a + head, b + head, n - head - tail, m - head - tail
+    out[todo[n <= most]] = True  # with an edit for each character
+    side = (most - n + m) // 2
+    words = (n - m + 2 * side) // 64 + 1
+    rest = np.flatnonzero(n > most)
+    rest = rest[np.lexsort((m[rest], words[rest]))]
     first = 0
-    while first < len(todo):
-        # the longest text of a batch is half as long again as its shortest, about
-        last = int(np.searchsorted(size[b[todo]], size[b[todo[first]]] * 3 // 2 + 8, "right"))
-        wide = int((size[a[todo[first:last]]] + 2 * most[todo[first:last]]).max()) // 64 + 4
+    while first < len(rest):
+        # the longest text of a batch is three times as long as its shortest, about
+        last = int(np.searchsorted(words[rest], words[rest[first]], "right"))
+        last = first + int(np.searchsorted(m[rest[first:last]], m[rest[first]] * 3 + 8, "right"))
+        wide = int((m[rest[first:last]] + 64 * words[rest[first]]).max()) // 64 + 2
         last = min(last, first + max(1, TABLE_BYTES // (8 * kinds * wide)))
-        part = todo[first:last]
-        out[part] = _batch(data, at, kinds, a[part], b[part], most[part])
+        part = rest[first:last]
+        if len(part) < FEW * (1 + words[part[0]]):
+            for i in part.tolist():
+                out[todo[i]] = _single(data[a[i] : a[i] + n[i]], data[b[i] : b[i] + m[i]], int(most[i]))
+        else:
+            out[todo[part]] = _batch(data, kinds, a[part], n[part], b[part], m[part], most[part], side[part], int(words[part[0]]))
         first = last
     return out
 
 
 def _single(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """The same for two texts, of which ``a`` is the longer, without what they share at both ends."""
-    other = np.flatnonzero(a[: len(b)] != b)
-    head = int(other[0]) if len(other) else len(b)
-    a, b = a[head:], b[head:]
-    other = np.flatnonzero(a[len(a) - len(b) :][::-1] != b[::-1])
-    tail = int(other[0]) if len(other) else len(b)
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    most = min(most, len(a))
-    if len(b) == 0 or len(a) - len(b) > most:
-        return len(a) <= most
-    mask = (1 << (2 * most + 1)) - 1
+    """The same for two texts, of which ``a`` is the longer, but by less than ``most`` edits."""
+    total = len(a) - len(b)
+    side = (most - total) // 2
+    mask = (1 << (total + 2 * side + 1)) - 1
     table = {}
     for kind in np.unique(b).tolist():
-        places = np.packbits(np.concatenate([np.zeros(most, np.bool_), a == kind]), bitorder="little")
+        places = np.packbits(np.concatenate([np.zeros(side, np.bool_), a == kind]), bitorder="little")
         table[kind] = int.from_bytes(places.tobytes(), "little")
-    vp, vn = mask ^ ((1 << most) - 1), 0
-    total, last = len(a) - len(b), 1 << (len(a) - len(b) + most)
+    vp, vn = mask ^ ((1 << side) - 1), 0
+    last = 1 << (total + side)
     for j, kind in enumerate(b.tolist()):
         e = (table[kind] >> j) & mask
         d0 = ((((e & vp) + vp) ^ vp) | e | vn) & mask
@@ -187,30 +205,27 @@ def _single(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     return True
 
 
-def _batch(data: np.ndarray, at: np.ndarray, kinds: int, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    n, m = at[a + 1] - at[a], at[b + 1] - at[b]  # m ascends
-    band, end = int(most.max()), int(m.max())
-    words = (2 * band + 64) // 64
-    width = 64 * words
-    # bit i of a character's row: whether the longer text has it at place i - band
-    wide = max(int(n.max()) + band, end + width) // 64 + 2
+def _batch(data: np.ndarray, kinds: int, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, most: np.ndarray, side: np.ndarray, words: int) -> np.ndarray:
+    """The same for texts of ``n`` and ``m`` characters, ascending, from ``a`` and ``b`` on, with ``side`` diagonals before the first cell's in ``words``."""
+    end = int(m.max())
+    # bit i of a character's row: whether the longer text has it at place i - side
+    wide = (end + 64 * words) // 64 + 2
     table = np.zeros(len(a) * kinds * wide, U64)
-    line, place, index = _inside(at, a)
-    place += band
+    line, place, index = _inside(a, n)
+    place += side[line]
     np.add.at(table, (line * kinds + data[index]) * wide + (place >> 6), U64(1) << (place & 63).astype(U64))
-    line, place, index = _inside(at, b)
+    line, place, index = _inside(b, m)
     spelt = np.zeros((end, len(b)), np.int32)  # the shorter text's characters, by column
     spelt[place, line] = data[index]
     start = np.arange(len(a)) * (kinds * wide)
-    ahead = n - m + band  # the bit of the last cell's diagonal
+    ahead = n - m + side  # the bit of the last cell's diagonal
     spot, shift = ahead // 64, (ahead % 64).astype(U64)
     sums = n - m
     out = np.zeros(len(a), np.bool_)
     live = np.arange(len(a))
-    ones = [U64(0)] * words
-    for r in range(band, width):
-        ones[r // 64] |= U64(1 << (r % 64))
-    vp, vn = [np.full(len(a), w) for w in ones], [np.zeros(len(a), U64) for _ in range(words)]
+    every = ~U64(0)
+    vp = [np.where(side < 64 * w + 64, every << np.clip(side - 64 * w, 0, 63).astype(U64), U64(0)) for w in range(words)]
+    vn = [np.zeros(len(a), U64) for _ in range(words)]
     done = 0
     for j in range(end):
         ended = int(np.searchsorted(m, j, "right"))

@@ -183,11 +183,13 @@ def pairs(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, least: int =
     size = np.diff(at)
     use = np.flatnonzero((letters >= TELLING) & np.repeat(size > least, size))
     line = np.repeat(np.arange(len(size)), size)[use]
-    order = np.argsort((line.astype(U64) << U64(40)) | (hashes[use] >> U64(24)), kind="stable")
+    order = np.argsort((line.astype(U64) << U64(40)) | (hashes[use] >> U64(24)))
     line, word = line[order], use[order]
+    own = hashes[word]
     new = np.ones(len(line), np.bool_)
-    new[1:] = (line[1:] != line[:-1]) | (hashes[word[1:]] != hashes[word[:-1]])
-    line, word = line[new], word[new]
+    new[1:] = (line[1:] != line[:-1]) | (own[1:] != own[:-1])
+    # of a word that a line has again the first place, in whatever order they are sorted
+    line, word = line[new], np.minimum.reduceat(word, np.flatnonzero(new)) if len(word) else word
     told = np.bincount(line, minlength=len(size))
     next_ = np.flatnonzero(line[1:] == line[:-1])
     over = np.flatnonzero((line[2:] == line[:-2]) & (told[line[2:]] <= MIDDLE) & (size[line[2:]] > FEW))
@@ -243,16 +245,16 @@ def keys_of(hashes: np.ndarray, letters: np.ndarray, at: np.ndarray, spots: np.n
     return line, key, np.concatenate([none, spots[first], spots[start]]), np.concatenate([none, spots[second], spots[start]]), many
 
 
-def _unit(code: np.ndarray) -> np.ndarray:
-    """Characters by which places in a line of this size are told, so that they fit in a byte."""
-    return 1 << np.maximum(np.floor(code / LOG / np.log(2)).astype(np.int64) - 7, 0)
+def _shift(code: np.ndarray) -> np.ndarray:
+    """The power of two of the characters by which places in a line of this size are told, so that they fit in a byte."""
+    return np.maximum(np.floor(code / LOG / np.log(2)).astype(np.int64) - 7, 0)
 
 
 FOUND = "kind int, part int, blob binary, x bigint, y bigint, z bigint, n int"
 #: Kinds of rows: first occurrences, later ones, keys or pairs in blobs, and keys whose lines are many.
 FIRST, LATER, BLOB, DENSE = range(4)
 _LINE = ["u8", "i8", "i8", "i4", "u1"]
-_KEY = ["u4", "u8", "u2", "u1", "u1"]
+_KEY = ["u4", "u8", "u4"]
 _PAIR = ["u8", "u8", "u1", "u1"]
 
 
@@ -278,19 +280,19 @@ def _dealt(kind: int, key: np.ndarray, parts: int, columns: list[np.ndarray], ke
     blob ends where that takes more than 32 bits.
     """
     order = np.argsort(key)
+    key, columns = key[order], [c[order] for c in columns]
     if keyed:  # most keys of lines that occur again go
-        new = np.ones(len(order), np.bool_)
-        new[1:] = (key[order[1:]] != key[order[:-1]]) | (columns[0][order[1:]] != columns[0][order[:-1]])
-        order = order[new]
-    part = (((key[order] >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+        new = np.ones(len(key), np.bool_)
+        new[1:] = (key[1:] != key[:-1]) | (columns[0][1:] != columns[0][:-1])
+        key, columns = key[new], [c[new] for c in columns]
+    part = (((key >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int32)
     cut = part[1:] != part[:-1]
-    columns = [c[order] for c in columns]
     if keyed:
-        top = key[order] >> U64(64 - KEY_BITS)
+        top = key >> U64(64 - KEY_BITS)
         step = np.diff(top, prepend=U64(0))
         cut |= step[1:] >> U64(32) > 0
-    start = np.concatenate(([0], np.flatnonzero(cut) + 1)) if len(order) else np.zeros(0, np.int64)
-    edge = np.append(start, len(order)).tolist()
+    start = np.concatenate(([0], np.flatnonzero(cut) + 1)) if len(key) else np.zeros(0, np.int64)
+    edge = np.append(start, len(key)).tolist()
     if keyed:
         step[start] = 0
         columns = [step.astype(np.uint32), *columns]
@@ -346,9 +348,12 @@ def _analysed(ids: pa.Array, rids: np.ndarray, texts: pa.Array) -> Iterator[tupl
             few, more, place = short_keys([b" ".join([raw[x:y] for x, y in own]).decode() for own in spans])
             line, key, p, q = (np.concatenate(v) for v in ((line, short[few]), (key, more), (p, place), (q, place)))
         code = np.rint(np.log(np.maximum(size, 1)) * LOG).astype(np.int64)
-        unit = _unit(code)[line]
-        p, q = (np.minimum(v // unit, 255).astype(np.uint8) for v in (p, q))
-        yield [], [key, h[line], (code + (many.astype(np.int64) << 15)).astype(np.uint16)[line], p, q]
+        shift = _shift(code)[line]
+        p, q = (np.minimum(v >> shift, 255).astype(np.uint32) for v in (p, q))
+        p |= q << np.uint32(8)
+        p <<= np.uint32(16)
+        p |= (code + (many.astype(np.int64) << 15)).astype(np.uint32)[line]
+        yield [], [key, h[line], p]
 
 
 def _local(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -373,8 +378,8 @@ def _scattered(docs: DataFrame, parts: int) -> DataFrame:
             yield _rows(LATER, len(later), part=(own[2][later] & 0x7FFF).astype(np.int32), y=own[2][later], n=own[3][later])
             yield from _dealt(FIRST, own[0][first], parts, [c[first] for c in own])
         if keys:
-            key, h, code, p, q = (np.concatenate(c) for c in zip(*keys, strict=True))
-            yield from _dealt(DENSE, key, parts, [h, code, p, q], keyed=True)
+            key, h, packed = (np.concatenate(c) for c in zip(*keys, strict=True))
+            yield from _dealt(DENSE, key, parts, [h, packed], keyed=True)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: list[list[np.ndarray]] = []
@@ -396,7 +401,7 @@ def _scattered(docs: DataFrame, parts: int) -> DataFrame:
 def _near(i: np.ndarray, j: np.ndarray, code: np.ndarray, p: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the key's words lie near enough in lines i and j, of which j is the longer."""
     big = np.exp(code[j] / LOG) * 1.001
-    unit = _unit(code)
+    unit = 1 << _shift(code)
     far = big * (1 - similarity) + 2 + np.maximum(unit[i], unit[j])
     return (np.abs(p[i] * unit[i] - p[j] * unit[j]) <= far) & (np.abs(q[i] * unit[i] - q[j] * unit[j]) <= far)
 
@@ -482,7 +487,7 @@ def _compared(scattered: DataFrame, parts: int, similarity: float, near: int) ->
         docs = pa.array(own[1][first], mask=own[4][first] > 0)
         yield _rows(FIRST, len(first), x=own[0][first], y=own[2][first], z=docs, n=own[3][first])
         del own
-        step, ids, code, p, q = _gathered([data for _, data in keys], _KEY)
+        step, ids, packed = _gathered([data for _, data in keys], _KEY)
         if len(ids) == 0:
             return
         size = np.array([len(data) for _, data in keys]) // sum(np.dtype(k).itemsize for k in _KEY)
@@ -491,8 +496,9 @@ def _compared(scattered: DataFrame, parts: int, similarity: float, near: int) ->
         key += np.repeat(np.array([top for top, _ in keys], np.int64).view(U64) - key[start], size)
         keys.clear()
         del step
-        order = _together(key, ids, code & 0x7FFF)
-        key, ids, many, code, p, q = key[order], ids[order], code[order] >> 15, (code[order] & 0x7FFF).astype(np.int64), p[order].astype(np.int64), q[order].astype(np.int64)
+        order = _together(key, ids, packed & 0x7FFF)
+        key, ids, packed = key[order], ids[order], packed[order].astype(np.int64)
+        code, many, p, q = packed & 0x7FFF, ((packed >> 15) & 1).astype(np.uint16), (packed >> 16) & 255, packed >> 24
         i, j, more, dense = _met(key, ids, code, p, q, many, similarity, near)
         met.append(_counts(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), 1 + (many[i] & many[j])))
         n = np.flatnonzero(more)

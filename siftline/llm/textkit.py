@@ -29,6 +29,7 @@ _GRAM = _rng.integers(1 << 40, 1 << 62, 256, dtype=np.uint64) | U64(1)
 
 _WORD = np.zeros(256, np.bool_)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_WORD_BYTES = _WORD.tobytes()
 _LATIN1 = np.zeros(256, np.bool_)  # second bytes after C2 that are letters or digits
 _LATIN1[[0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]] = True
 
@@ -103,18 +104,22 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def word_mask(data: np.ndarray) -> np.ndarray:
     """True at the bytes of words."""
-    mask = _WORD[data]
+    mask = np.frombuffer(bytearray(data.tobytes().translate(_WORD_BYTES)), np.bool_)
     n = len(data)
-    lead = np.flatnonzero(data == 0xC2)
+    high = np.flatnonzero(data >= 0xC2)
+    if len(high) == 0:
+        return mask
+    kind = data[high]
+    lead = high[kind == 0xC2]
     lead = lead[lead + 1 < n]
     lead = lead[~_LATIN1[data[lead + 1]]]
     mask[lead] = mask[lead + 1] = False
-    lead = np.flatnonzero(data == 0xC3)
+    lead = high[kind == 0xC3]
     lead = lead[lead + 1 < n]
     lead = lead[(data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)]
     mask[lead] = mask[lead + 1] = False
     for first, seconds in ((0xE2, (0x80, 0x81)), (0xE3, (0x80,))):
-        lead = np.flatnonzero(data == first)
+        lead = high[kind == first]
         lead = lead[lead + 2 < n]
         second, third = data[lead + 1], data[lead + 2]
         sep = np.isin(second, seconds)
@@ -148,7 +153,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, U64)
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    own = np.take(_BYTE, data)
+    own *= up[: len(data)]
+    np.cumsum(own, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 

@@ -132,6 +132,37 @@ def test_edit_distances():
     assert alike[true].all() and not alike.all()
 
 
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_edits_on_the_outermost_diagonals(monkeypatch, few):
+    """Texts that are moved by as much as the edits allow, compared together and by themselves."""
+    monkeypatch.setattr(edits, "FEW", few)
+    pairs = []
+    for _ in range(300):
+        base = "".join(rng.choice(list("abcd"), int(rng.integers(20, 200))))
+        moved = int(rng.integers(1, 40)) % len(base)
+        more = "".join(rng.choice(list("efgh"), moved + int(rng.integers(0, 3))))
+        pairs.append((more + base[: len(base) - moved], base))
+    true = [_distance(x, y) for x, y in pairs]
+    for less in (0, 1):
+        got = edits.within(pa.array([x for x, _ in pairs]), pa.array([y for _, y in pairs]), np.array(true) - less)
+        assert got.tolist() == [less == 0] * len(pairs)
+
+
+def test_what_both_texts_share_at_their_ends_is_not_compared(monkeypatch):
+    """Of 600 characters 200 differ, and 60 edits take one word of 64 diagonals a column."""
+    calls = []
+    invert = np.invert
+    monkeypatch.setattr(edits.np, "invert", lambda *a, **k: calls.append(1) or invert(*a, **k))
+    ends = "".join(rng.choice(list("abcdefgh "), 400))
+    inner = ["".join(rng.choice(list("abcdefgh "), 200)) for _ in range(100)]
+    other = [x[:50] + "é" * 61 + x[111:] if k % 2 else x[:50] + "é" * 59 + x[109:] for k, x in enumerate(inner)]
+    inner, other = ([f"{ends[:200]}<{x}>{ends[200:]}" for x in v] for v in (inner, other))
+    inner, other = ([x.replace("<", a).replace(">", b) for x in v] for v, a, b in ((inner, "m", "n"), (other, "k", "n")))
+    most = np.full(100, 60)
+    assert edits.within(pa.array(inner), pa.array(other), most).tolist() == [True, False] * 50
+    assert len(calls) <= 2 * 202
+
+
 def test_trigrams_of_many_texts_take_little_memory():
     """A batch of long pairs isn't taken apart at once."""
     texts = ["".join(random.Random(k).choices("abcdefgh ", k=2000)) for k in range(3000)]

@@ -45,7 +45,8 @@ class DatabaseBuilder:
         """The database: written to ``path`` and indexed, or lazy and scanned where there is none.
 
         Two documents of one id are an error, or with ``on_duplicate="last"`` the one added last stays,
-        of those added by one call the one of the greatest text (``"any"`` skips the check).
+        of those added by one call the one of the greatest text (``"any"`` skips the check; filters then
+        take each document by its own metadata where it is lazy, by that of any of its id where it is written).
         """
         if not self._added:
             raise ValueError("no documents")
@@ -58,10 +59,14 @@ class DatabaseBuilder:
             docs = docs.groupBy("doc_id").agg(F.max_by(F.struct("text", "meta", "data"), F.struct("_n", "text")).alias("d")).select("doc_id", "d.*")
         elif on_duplicate != "any":
             raise ValueError("on_duplicate is error, last or any")
-        found = tables.sentences(docs, self.analyzer)
-        if self._creator is not None:
-            found = found.withColumn("metadata", self._creator(F.col("text")))
-        made = tables.Index(found, docs.select("doc_id", "meta.*"), docs.select("doc_id", "data"), self.analyzer)
+
+        def sentences(some: DataFrame) -> DataFrame:
+            found = tables.sentences(some, self.analyzer)
+            return found if self._creator is None else found.withColumn("metadata", self._creator(F.col("text")))
+
+        made = tables.Index(sentences(docs), docs.select("doc_id", "meta.*"), docs.select("doc_id", "data"), self.analyzer)
+        named = docs.select("doc_id", F.col("text").alias("_of_text"), "meta.*")
+        made.sentences_of = lambda condition: sentences(named.where(condition).select("doc_id", F.col("_of_text").alias("text")))
         return SearchDatabase(tables.write(made, path, mode) if path else made)
 
 

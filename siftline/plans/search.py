@@ -2,7 +2,8 @@
 
 Index plan: the postings of all the query's terms, in one pruned scan, are grouped by sentence in one
 shuffle, whatever the tree; matching sentences fetch their text last.  Scan plan: the same
-columns over the sentences' term arrays, without a shuffle.
+columns over the sentences' term arrays, without a shuffle; filters that hold for the whole query are
+applied before the texts of a lazy database are analysed.
 """
 
 from __future__ import annotations
@@ -66,9 +67,11 @@ def _matching(index: Index, node: QueryNode, indexed: bool) -> tuple[DataFrame,
     base = index.postings.where(F.col("stem").isin(stems)) if indexed else index.sentences
     if not stems:
         base = base.where("false")
-    if whole:
-        base = base.join(index.doc_meta.where(_all(whole)).select("doc_id"), "doc_id", "left_semi")
     nothing = F.array().cast("array<int>")
+    if whole and not indexed and index.sentences_of is not None:
+        base = index.sentences_of(_all(whole))
+    elif whole:
+        base = base.join(index.doc_meta.where(_all(whole)).select("doc_id"), "doc_id", "left_semi")
     if indexed:
         base = base.groupBy("doc_id", "sentence_idx").agg(F.map_from_entries(F.collect_list(F.struct("stem", "positions"))).alias("_found"))
         positions = {s: F.coalesce(F.try_element_at("_found", F.lit(s)), nothing) for s in stems}

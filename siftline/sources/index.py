@@ -8,13 +8,14 @@ the row groups whose statistics hold it.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import analysis
@@ -25,7 +26,10 @@ SENTENCES = "doc_id bigint, sentence_idx int, text string, tokens array<struct<s
 
 @dataclass
 class Index:
-    """The tables; ``postings`` and ``vocabulary`` are None while nothing is written."""
+    """The tables; ``postings`` and ``vocabulary`` are None while nothing is written.
+
+    ``sentences_of``, then, makes the sentences of the documents alone whose metadata meet a condition.
+    """
 
     sentences: DataFrame
     doc_meta: DataFrame
@@ -36,6 +40,7 @@ class Index:
 
 
 def sentences(docs: DataFrame, analyzer: str = "english") -> DataFrame:
+    sentences_of: Callable[[Column], DataFrame] | None = None
     """The sentences of ``docs(doc_id, text)``: lines with their words' byte ranges and terms.
 
     A null or empty text has none.

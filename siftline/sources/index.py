@@ -93,11 +93,13 @@ def numbered(found: DataFrame, parts: int = 256) -> DataFrame:
     Terms are numbered within ``parts`` ranges of document ids; how many terms come before each range is
     counted apart.  The ranges depend on the ids alone, so that a task that runs again numbers alike.
     """
-    first = F.min(F.struct("doc_id", "sentence_idx", F.element_at("positions", 1).alias("pos"))).alias("first")
+    # one number for all three, of 38 digits at most: rows that a minimum of structs would sort are hashed
+    place = F.expr(f"CAST(sentence_idx AS BIGINT) * {1 << 31} + element_at(positions, 1)")
+    first = F.min(F.expr(f"CAST(doc_id AS DECIMAL(19, 0)) * CAST({1 << 62} AS DECIMAL(19, 0))") + place.cast("decimal(19, 0)")).alias("first")
     bounds = found.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, high = (bounds.low, bounds.high) if bounds.low is not None else (0, 0)
-    part = F.expr(f"CAST((CAST(first.doc_id AS DECIMAL(20, 0)) - {low}) DIV {(high - low) // parts + 1} AS INT)")
-    terms = found.groupBy("stem").agg(first).withColumn("part", part)
+    part = F.expr(f"CAST((CAST(low_id AS DECIMAL(20, 0)) - {low}) DIV {(high - low) // parts + 1} AS INT)")
+    terms = found.groupBy("stem").agg(first, F.min("doc_id").alias("low_id")).withColumn("part", part)
     counts = terms.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # ``parts`` rows
     own = terms.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("first")))

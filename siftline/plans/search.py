@@ -25,6 +25,11 @@ def _places(stem: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size("stems") - 1), lambda i: F.get("stems", i) == stem)
 
 
+def _grouped(stem: str) -> Column:
+    """Where a sentence holds the term by its postings, which are several where an id was allowed to occur twice."""
+    return F.sort_array(F.flatten(F.transform(F.filter("_found", lambda f: f.stem == stem), lambda f: f.positions)))
+
+
 def _starts(phrase: tuple[str, ...], positions: dict[str, Column]) -> Column:
     """Sorted places at which the phrase begins; overlapping matches of itself are left out."""
     found = positions[phrase[0]]
@@ -65,16 +70,16 @@ def _matching(index: Index, node: QueryNode, indexed: bool) -> tuple[DataFrame,
     stems = list(dict.fromkeys(s for p in phrases for s in p))
     whole, branch = _filters(node)
     base = index.postings.where(F.col("stem").isin(stems)) if indexed else index.sentences
-    if not stems:
-        base = base.where("false")
-    nothing = F.array().cast("array<int>")
     if whole and not indexed and index.sentences_of is not None:
         base = index.sentences_of(_all(whole))
     elif whole:
         base = base.join(index.doc_meta.where(_all(whole)).select("doc_id"), "doc_id", "left_semi")
+    if not stems:
+        base = base.where("false")
+    nothing = F.array().cast("array<int>")
     if indexed:
-        base = base.groupBy("doc_id", "sentence_idx").agg(F.map_from_entries(F.collect_list(F.struct("stem", "positions"))).alias("_found"))
-        positions = {s: F.coalesce(F.try_element_at("_found", F.lit(s)), nothing) for s in stems}
+        base = base.groupBy("doc_id", "sentence_idx").agg(F.collect_list(F.struct("stem", "positions")).alias("_found"))
+        positions = {s: _grouped(s) for s in stems}
     else:
         base = base.where(F.arrays_overlap("stems", F.array(*map(F.lit, stems)))) if stems else base
         positions = {s: F.when(F.array_contains("stems", s), _places(s)).otherwise(nothing) for s in stems}

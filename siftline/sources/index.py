@@ -1,8 +1,8 @@
 """The tables of an index: sentences, postings, vocabulary, document metadata and payloads.
 
-Sentences come from one Arrow pass over the texts, without a shuffle.  Postings are range-partitioned
-by (term, document, sentence), so a frequent term spreads over many files and a term lookup reads
-the row groups whose statistics hold it.
+Sentences come from one Arrow pass over the texts, without a shuffle.  Postings are made where the sentences
+are read, in runs that are sorted by (term, document, sentence), so a frequent term spreads over all files and a
+term lookup reads the pages whose statistics hold it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from siftline.functions import analysis
 
 TABLES = ["sentences", "postings", "vocabulary", "doc_meta", "documents"]
 SENTENCES = "doc_id bigint, sentence_idx int, text string, tokens array<struct<start:int,end:int>>, stems array<string>"
+POSTINGS = "stem string, doc_id bigint, sentence_idx int, positions array<int>"
+#: Words of a sorted run of postings, about.
+RUN_WORDS = 1 << 20
 
 
 @dataclass
@@ -37,10 +40,10 @@ class Index:
     analyzer: str
     postings: DataFrame | None = None
     vocabulary: DataFrame | None = None
+    sentences_of: Callable[[Column], DataFrame] | None = None
 
 
 def sentences(docs: DataFrame, analyzer: str = "english") -> DataFrame:
-    sentences_of: Callable[[Column], DataFrame] | None = None
     """The sentences of ``docs(doc_id, text)``: lines with their words' byte ranges and terms.
 
     A null or empty text has none.
@@ -71,15 +74,58 @@ def sentences(docs: DataFrame, analyzer: str = "english") -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(made, SENTENCES)
 
 
-def postings(found: DataFrame) -> DataFrame:
+def _sorted_terms(ids: pa.Array, numbers: pa.Array, stems: pa.ListArray) -> pa.RecordBatch:
+    """The postings of some sentences, sorted by (term, document, sentence)."""
+    n, at = len(ids), stems.offsets.to_numpy().astype(np.int64)
+    size, words = np.diff(at), stems.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+    rank = np.empty(len(words.dictionary), np.int64)
+    rank[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(rank))
+    by_id = np.empty(n, np.int64)
+    by_id[np.lexsort((numbers.to_numpy(), pc.fill_null(ids, 0).to_numpy()))] = np.arange(n)
+    row = np.repeat(np.arange(n), size)
+    code = words.indices.to_numpy()
+    key = rank[code] * n + by_id[row]
+    order = np.argsort(key, kind="stable")  # so places stay in order
+    key = key[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    place = (np.arange(len(row)) - np.repeat(at[:-1] - at[0], size)).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(place[order]))
+    first = order[start]
+    return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])), ids.take(pa.array(row[first])), numbers.take(pa.array(row[first])), places], ["stem", "doc_id", "sentence_idx", "positions"])
+
+
+def postings(found: DataFrame, words: int = RUN_WORDS) -> DataFrame:
     """``(stem, doc_id, sentence_idx, positions)``: one row for each term of each sentence.
 
-    The range partitioning serves the grouping too, so there is one shuffle.
+    A sentence has all its words, so nothing is grouped or shuffled; runs of about ``words`` words are sorted.
     """
-    each = found.select("doc_id", "sentence_idx", F.posexplode("stems").alias("pos", "stem"))
-    keys = ["stem", "doc_id", "sentence_idx"]
-    grouped = each.repartitionByRange(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.sortWithinPartitions(*keys)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if count:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                run = _sorted_terms(*[c.chunk(0) for c in whole.columns])
+                for i in range(0, run.num_rows, 1 << 16):
+                    yield run.slice(i, 1 << 16)
+
+        for b in batches:
+            at = b.column(2).offsets.to_numpy().astype(np.int64)
+            first = 0
+            while first < b.num_rows:
+                # a sentence at least, however long it is
+                last = max(int(np.searchsorted(at, at[first] + words - count, "right")) - 1, first + 1)
+                held.append(b.slice(first, last - first))
+                count += int(at[last] - at[first])
+                first = last
+                if count >= words or first < b.num_rows:
+                    yield from flushed()
+                    held, count = [], 0
+        yield from flushed()
+
+    return found.select("doc_id", "sentence_idx", "stems").mapInArrow(made, POSTINGS)
 
 
 def vocabulary(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from siftline.functions import analysis, highlight
 from siftline.operators.database import SearchDatabase
 from siftline.plans.tree import And, Keywords, Or, Phrase
+from siftline.sources import index as tables
 from siftline.streaming.batches import index_stream, load_batches
 
 TEXTS = ["Running dogs run", "the quick, brown fox\nbrown quick", "a a a\nb a b a b a b", "foo\nbar", "x y z", "a c\nb", "été chaud\n\nlast", "", None]
@@ -164,3 +165,41 @@ def test_clashing_names_and_ids(spark, tmp_path):
         SearchDatabase.builder(spark).add_documents(docs).build(str(tmp_path / "out" / f"batch-{n:08d}"))
     with pytest.raises(ValueError, match="two batches"):
         load_batches(spark, str(tmp_path / "out"))
+
+
+def test_postings_are_made_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(rng.choices("abé x7", k=rng.randint(0, 30))) for _ in range(3))) for i in range(-5, 40)], "doc_id long, text string")
+    found = tables.sentences(docs.repartition(3))
+    each = found.select("doc_id", "sentence_idx", F.posexplode("stems").alias("pos", "stem"))
+    keys = ["stem", "doc_id", "sentence_idx"]
+    want = sorted(tuple(r) for r in each.groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("positions")).collect())
+    for words in (1, 50, 1 << 20):
+        assert sorted(tuple(r) for r in tables.postings(found, words).collect()) == want
+    run = tables.postings(tables.sentences(docs.coalesce(1))).select(*keys)
+    assert "Exchange" not in run._jdf.queryExecution().executedPlan().toString()
+    one = [tuple(r) for r in run.collect()]
+    assert one == sorted(one, key=lambda r: (r[0].encode(), *r[1:]))
+
+
+def test_first_places_are_hashed_not_sorted(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [("b", high, 2**31 - 1, [2**31 - 2]), ("b", low, 7, [9]), ("a", low, 7, [3, 4]), ("c", high, 0, [0]), ("d", 0, 1, [5]), ("e", 0, 0, [6])]
+    found = tables.numbered(spark.createDataFrame(rows, "stem string, doc_id long, sentence_idx int, positions array<int>"))
+    assert {r.stem: r.term_id for r in found.collect()} == {"a": 1, "b": 2, "e": 3, "d": 4, "c": 5}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_come_before_analysis(spark):
+    docs = spark.createDataFrame([(1, "red fox", "en"), (2, "red hen", "fr")], "id long, text string, lang string")
+    db = SearchDatabase.builder(spark).add_documents(docs, metadata=["lang"]).build()
+    got = db.query(db.parse_query("red", document_filter="lang = 'fr'"))
+    assert [tuple(r)[:2] for r in got.collect()] == [(2, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("= fr")
+
+
+def test_ids_that_occur_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox"), (1, "fox red")], "id long, text string")
+    db = SearchDatabase.builder(spark).add_documents(docs).build(str(tmp_path / "twice"), on_duplicate="any")
+    assert sorted(r.text for r in db.query(db.parse_query("red AND fox")).collect()) == ["fox red", "red fox"]

@@ -24,6 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from siftline.llm import cluster
 from siftline.llm import textkit as tk
 
 #: The file of ranks: a base64 token and its number on each line.  It is read by the driver alone.
@@ -128,7 +129,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
             found = [None if t is None else own.encode(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, tokens])
 
-    return docs.mapInArrow(made, StructType([*docs.schema.fields, StructField(tokens, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(cluster.releasing(made), StructType([*docs.schema.fields, StructField(tokens, ArrayType(IntegerType()))]))
 
 
 def decode(docs: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY, pattern: str = PATTERN, text: str = "decoded") -> DataFrame:
@@ -146,7 +147,7 @@ def decode(docs: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY
             found = [None if t is None else own.decode(t).decode(errors="replace") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, text])
 
-    return docs.mapInArrow(made, StructType([*docs.schema.fields, StructField(text, StringType())]))
+    return docs.mapInArrow(cluster.releasing(made), StructType([*docs.schema.fields, StructField(text, StringType())]))
 
 
 REPORT = "doc_id bigint, n_bytes bigint, n_tokens bigint, tokens array<int>, exact boolean"
@@ -170,7 +171,7 @@ def report(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                 counts = [None if f is None else len(f) for f in found]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(piece)).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), _lists(found), pa.array(exact, pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "tokens", "exact"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, REPORT)
+    return docs.select("doc_id", "text").mapInArrow(cluster.releasing(made), REPORT)
 
 
 def _lists(found: list[list[int] | None]) -> pa.Array:

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm import cluster
 from siftline.llm import textkit as tk
 
 MAX_WORDS = 13
@@ -198,7 +199,7 @@ def report(docs: DataFrame, parts: list[Matcher], doc_share: float = DOC_SHARE)
             gone = [lost > doc_share * n for _, n, lost, _, _ in rows]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(gone, pa.bool_()), pa.array(columns[4], pa.string())], ["doc_id", "n_words", "removed_words", "n_spans", "dropped", "clean_text"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, REPORT)
+    return docs.select("doc_id", "text").mapInArrow(cluster.releasing(made), REPORT)
 
 
 def clean(docs: DataFrame, parts: list[Matcher], doc_share: float = DOC_SHARE) -> DataFrame:
@@ -222,7 +223,7 @@ def clean(docs: DataFrame, parts: list[Matcher], doc_share: float = DOC_SHARE) -
             gone[[r for r, n, lost, _, _ in rows if lost > doc_share * n]] = True
             yield b.set_column(at, b.schema.field(at), texts).filter(pa.array(~gone))
 
-    return docs.mapInArrow(made, docs.schema)
+    return docs.mapInArrow(cluster.releasing(made), docs.schema)
 
 
 #: DuckDB: the union of all item windows of the limit's length is what the automaton removes.

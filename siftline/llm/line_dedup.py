@@ -72,6 +72,10 @@ RUNS = 64
 NEAR = 16
 #: Keys that a task sorts at a time.
 FLUSH = 1 << 20
+#: Keys whose lines meet at a time, pairs that a task holds before it deals them, and pairs of dense keys that it looks at at a time.
+SLICE = 1 << 18
+HELD = 1 << 22
+LOOKED = 1 << 18
 #: Bits of the keys by which lines meet.
 KEY_BITS = 48
 #: Steps of the logarithm by which sizes are told.
@@ -431,6 +435,14 @@ def _group(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.cumsum(new) - 1
 
 
+def _slices(key: np.ndarray, size: int) -> Iterator[slice]:
+    """Slices of about ``size`` of sorted keys; none is cut."""
+    start = np.flatnonzero(_group(key)[0])
+    if len(start):
+        at = np.unique(start[np.minimum(np.searchsorted(start, np.arange(0, len(key), size)), len(start) - 1)])
+        yield from map(slice, at.tolist(), [*at[1:].tolist(), len(key)])
+
+
 def _met(key: np.ndarray, ids: np.ndarray, code: np.ndarray, p: np.ndarray, q: np.ndarray, many: np.ndarray, similarity: float, near: int):
     """Pairs of lines that meet by a key, as indexes, and which lines belong to keys with more to compare."""
     window = int(np.ceil(-np.log(similarity) * LOG)) + 1
@@ -460,7 +472,8 @@ def _met(key: np.ndarray, ids: np.ndarray, code: np.ndarray, p: np.ndarray, q: n
         j = n[dense]
         for back in (0, 1):
             i = lead[np.maximum(of[j] - back, 0)]
-            fit = (group[i] == group[j]) & (i != j) & (np.maximum(i, j) - np.minimum(i, j) > 0) & (sized[i] + window >= sized[j])
+            # before the first band there is none, and its own would count twice
+            fit = (of[j] >= back) & (group[i] == group[j]) & (i != j) & (np.maximum(i, j) - np.minimum(i, j) > 0) & (sized[i] + window >= sized[j])
             left.append(np.minimum(i, j)[fit])
             right.append(np.maximum(i, j)[fit])
     i, j = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (left, right))
@@ -497,13 +510,26 @@ def _compared(scattered: DataFrame, parts: int, similarity: float, near: int) ->
         keys.clear()
         del step
         order = _together(key, ids, packed & 0x7FFF)
-        key, ids, packed = key[order], ids[order], packed[order].astype(np.int64)
+        key, ids, packed = key[order], ids[order], packed[order]
+        del order
+        for own in _slices(key, SLICE):
+            yield from of_keys(key[own], ids[own], packed[own].astype(np.int64), met)
+
+    def of_keys(key: np.ndarray, ids: np.ndarray, packed: np.ndarray, met: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         code, many, p, q = packed & 0x7FFF, ((packed >> 15) & 1).astype(np.uint16), (packed >> 16) & 255, packed >> 24
         i, j, more, dense = _met(key, ids, code, p, q, many, similarity, near)
-        met.append(_counts(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), 1 + (many[i] & many[j])))
+        a, b, n, need = _counts(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), 1 + (many[i] & many[j]))
+        met.append((a, b, n.astype(np.int32), need.astype(np.uint8)))
         n = np.flatnonzero(more)
         packed = code[n] | (p[n] << 16) | (q[n] << 24) | (dense[n].astype(np.int64) << 32)
         yield _rows(DENSE, len(n), x=key[n], y=ids[n], z=packed, n=many[n])
+        if sum(len(m[0]) for m in met) > HELD:
+            yield from dealt(met)
+
+    def dealt(met: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        a, b, n, need = _counts(*(np.concatenate(c) for c in zip(*met, strict=True)))
+        met.clear()
+        yield from _dealt(BLOB, tk.mix(a + tk.mix(b)), parts, [a, b, np.minimum(n, 255).astype(np.uint8), need.astype(np.uint8)])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task has several parts, whose keys differ, so that one is sorted at a time
@@ -523,9 +549,7 @@ def _compared(scattered: DataFrame, parts: int, similarity: float, near: int) ->
         for part in sorted(lines.keys() | keys.keys()):
             yield from of_part(lines.pop(part, []), keys.pop(part, []), met)
         if met:
-            a, b, n, need = _counts(*(np.concatenate(c) for c in zip(*met, strict=True)))
-            del met
-            yield from _dealt(BLOB, tk.mix(a + tk.mix(b)), parts, [a, b, np.minimum(n, 255).astype(np.uint8), need.astype(np.uint8)])
+            yield from dealt(met)
 
     return scattered.repartition("part").mapInArrow(cluster.releasing(made), FOUND)
 
@@ -558,52 +582,60 @@ def _once(i: np.ndarray, j: np.ndarray, group: np.ndarray, root: np.ndarray) ->
     return i[order[new]], j[order[new]]
 
 
+def _across_keys(t: pa.Table, similarity: float, few: bool) -> pa.RecordBatch:
+    """The pairs that :func:`_across` finds by the keys of ``t``; so many at a time are looked at that memory doesn't grow with a key's lines."""
+    window = int(np.ceil(-np.log(similarity) * LOG)) + 1
+    key, ids, packed, many, root = (np.asarray(t.column(c).to_numpy()) for c in ("x", "y", "z", "n", "root"))
+    ids = ids.view(U64)
+    order = np.lexsort((ids, packed & 0xFFFF, key))
+    key, ids, packed, many, root = key[order], ids[order], packed[order], many[order], root[order]
+    sketch = np.concatenate([edits.sketch_rows(c) for c in t.column("sketch").chunks])[order]
+    code, p, q, flag = packed & 0xFFFF, (packed >> 16) & 255, (packed >> 24) & 255, packed >> 32
+    _, group = _group(key)
+    # of each key the lines outside its commonest group meet all in reach of their sizes
+    by = np.lexsort((root, group))
+    new = np.ones(len(by), np.bool_)
+    new[1:] = (group[by[1:]] != group[by[:-1]]) | (root[by[1:]] != root[by[:-1]])
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(by)))
+    best = np.zeros(int(group[-1]) + 1, np.int64)
+    rank = np.lexsort((count, group[by[start]]))
+    best[group[by[start]][rank]] = root[by[start]][rank]
+    other = np.flatnonzero(root != best[group])
+    sized = group * (1 << 16) + code
+    low = np.searchsorted(sized, group * (1 << 16) + np.maximum(code - window, 0))[other]
+    high = np.searchsorted(sized, sized[other] + window, "right")
+    outside = root != best[group]
+    at = np.concatenate(([0], np.cumsum(high - low)))  # all the pairs of ``other`` in one row
+    found = [np.zeros(0, np.int64)]
+    for first in range(0, int(at[-1]), LOOKED):
+        n = np.arange(first, min(first + LOOKED, int(at[-1])))
+        of = np.searchsorted(at, n, "right") - 1
+        i, j = other[of], n - at[of] + low[of]
+        # a pair of lines that are both outside is looked at once
+        use = (group[i] == group[j]) & (root[i] != root[j]) & ((j < i) | ~outside[j])
+        i, j = np.minimum(i, j)[use], np.maximum(i, j)[use]
+        use = flag[j] > 0
+        i, j = i[use], j[use]
+        use = _near(i, j, code, p, q, similarity)
+        i, j = i[use], j[use]
+        use = ~edits.far(sketch, i, j, similarity)
+        i, j = i[use], j[use]
+        if few:
+            i, j = _once(i, j, group, root)
+        found.append(i * len(key) + j)
+    pair = np.sort(np.concatenate(found))
+    i, j = pair // len(key), pair % len(key)
+    if few:
+        i, j = _once(i, j, group, root)
+    return _paired(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i)), 1 + (many[i] & many[j]))
+
+
 def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
     """The pairs of different groups that meet by a dense key of ``dense(x, y, z, n, sketch, root)``, but those that are far.
 
     ``few``: of every key one pair for each two groups that meet.
     """
-    window = int(np.ceil(-np.log(similarity) * LOG)) + 1
-
-    def of_keys(t: pa.Table) -> pa.RecordBatch:
-        key, ids, packed, many, root = (np.asarray(t.column(c).to_numpy()) for c in ("x", "y", "z", "n", "root"))
-        ids = ids.view(U64)
-        order = np.lexsort((ids, packed & 0xFFFF, key))
-        key, ids, packed, many, root = key[order], ids[order], packed[order], many[order], root[order]
-        sketch = np.concatenate([edits.sketch_rows(c) for c in t.column("sketch").chunks])[order]
-        code, p, q, flag = packed & 0xFFFF, (packed >> 16) & 255, (packed >> 24) & 255, packed >> 32
-        _, group = _group(key)
-        # of each key the lines outside its commonest group meet all in reach of their sizes
-        by = np.lexsort((root, group))
-        new = np.ones(len(by), np.bool_)
-        new[1:] = (group[by[1:]] != group[by[:-1]]) | (root[by[1:]] != root[by[:-1]])
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(by)))
-        best = np.zeros(int(group[-1]) + 1, np.int64)
-        rank = np.lexsort((count, group[by[start]]))
-        best[group[by[start]][rank]] = root[by[start]][rank]
-        other = np.flatnonzero(root != best[group])
-        sized = group * (1 << 16) + code
-        low = np.searchsorted(sized, group * (1 << 16) + np.maximum(code - window, 0))[other]
-        high = np.searchsorted(sized, sized[other] + window, "right")
-        found = [np.zeros(0, np.int64)]
-        for first in range(0, len(other), 4096):
-            lo, n = low[first : first + 4096], (high - low)[first : first + 4096]
-            i = np.repeat(other[first : first + 4096], n)
-            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            use = (group[i] == group[j]) & (root[i] != root[j]) & (flag[j] > 0)
-            i, j = i[use], j[use]
-            use = _near(i, j, code, p, q, similarity)
-            i, j = i[use], j[use]
-            use = ~edits.far(sketch, i, j, similarity)
-            i, j = i[use], j[use]
-            if few:
-                i, j = _once(i, j, group, root)
-            found.append(i * len(key) + j)
-        pair = np.unique(np.concatenate(found))  # some were found from both lines
-        i, j = pair // len(key), pair % len(key)
-        return _paired(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i)), 1 + (many[i] & many[j]))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -613,11 +645,11 @@ def _across(dense: DataFrame, similarity: float, few: bool) -> DataFrame:
             keys = b.column(0).to_numpy()
             last = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])  # where the last key begins
             if held and (last or held[-1].column(0)[-1].as_py() != keys[0]):
-                yield of_keys(pa.Table.from_batches([*held, b.slice(0, last)]))
+                yield _across_keys(pa.Table.from_batches([*held, b.slice(0, last)]), similarity, few)
                 held, b = [], b.slice(last)
             held.append(b)
         if held:
-            yield of_keys(pa.Table.from_batches(held))
+            yield _across_keys(pa.Table.from_batches(held), similarity, few)
 
     mixed = dense.groupBy("x").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("x")
     return dense.join(mixed, "x").select("x", "y", "z", "n", "sketch", "root").repartition("x").sortWithinPartitions("x").mapInArrow(cluster.releasing(made), PAIRED)
@@ -672,7 +704,7 @@ def _plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 
     for c in "ab":
         pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("sketch").alias(f"s{c}")), c)
-    return pairs.select("a", "b", "n", "need", "sa", "sb").mapInArrow(made, PAIRED)
+    return pairs.select("a", "b", "n", "need", "sa", "sb").mapInArrow(cluster.releasing(made), PAIRED)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

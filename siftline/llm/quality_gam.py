@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm import cluster
 from siftline.llm import textkit as tk
 
 #: Labelled documents that the model is fitted on, at most (in expectation).
@@ -186,7 +187,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1), pa.float32()), len(FEATURES)).cast(pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
-    table = joined.mapInArrow(made, "doc_id bigint, quality int, x array<float>").toArrow()
+    table = joined.mapInArrow(cluster.releasing(made), "doc_id bigint, quality int, x array<float>").toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     x = np.asarray(table.column("x").combine_chunks().flatten(), np.float32).reshape(-1, len(FEATURES))
     return x[order], table.column("quality").to_numpy()[order]
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: Gam, cutoff: float = CUTOFF) -> DataFrame:
             s = model.scores(features(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s), pa.array(s >= cutoff)], ["doc_id", "quality_score", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id bigint, quality_score double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(cluster.releasing(made), "doc_id bigint, quality_score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Gam, cutoff: float = CUTOFF) -> DataFrame:
@@ -219,4 +220,4 @@ def keep_good(docs: DataFrame, model: Gam, cutoff: float = CUTOFF) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.scores(features(b.column(at))) >= cutoff))
 
-    return docs.mapInArrow(made, docs.schema)
+    return docs.mapInArrow(cluster.releasing(made), docs.schema)

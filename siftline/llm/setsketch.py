@@ -122,7 +122,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 take = pa.array(first + full)
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(take), b.column(1).take(take), pa.array(sequence_hashes(w.hashes, w.at)[full].view(np.int64)), pa.array(tk.distinct_counts(hashes, at)[full]), pa.Array.from_buffers(pa.binary(), len(full), [None, offsets, flat]), keys], ["doc_id", "rid", "h", "n", "k", "keys"])
 
-    return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(made, "doc_id bigint, rid bigint, h bigint, n bigint, k binary, keys array<bigint>")
+    return cluster.row_id(docs.select("doc_id", "text")).select("doc_id", "_rid", "text").mapInArrow(cluster.releasing(made), "doc_id bigint, rid bigint, h bigint, n bigint, k binary, keys array<bigint>")
 
 
 def _texts(docs: DataFrame, spots: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _texts(docs: DataFrame, spots: DataFrame) -> DataFrame:
             rid = b.column(0).to_numpy()
             yield b.filter(pa.array(cluster.in_filter(table, rid, np.zeros(len(rid), np.int64))))
 
-    some = cluster.row_id(docs.select("doc_id", "text"), "rid").select("rid", "text").mapInArrow(made, "rid bigint, text string")
+    some = cluster.row_id(docs.select("doc_id", "text"), "rid").select("rid", "text").mapInArrow(cluster.releasing(made), "rid bigint, text string")
     return some.join(spots, "rid").groupBy("h").agg(F.first("text").alias("text"))
 
 
@@ -171,10 +171,10 @@ def _verifier(docs: DataFrame, rows: DataFrame, similarity: float) -> Callable[[
         def verify(pairs: DataFrame) -> DataFrame:
             for c in "ab":
                 pairs = pairs.join(own.select(F.col("h").alias(c), F.col("k").alias(f"k{c}"), F.col("n").alias(f"n{c}")), c)
-            pairs = pairs.mapInArrow(likely, "a bigint, b bigint")
+            pairs = pairs.mapInArrow(cluster.releasing(likely), "a bigint, b bigint")
             for c in "ab":
                 pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("text").alias(f"t{c}")), c)
-            return pairs.mapInArrow(true, "a bigint, b bigint")
+            return pairs.mapInArrow(cluster.releasing(true), "a bigint, b bigint")
 
         return verify
 

@@ -330,3 +330,46 @@ def test_repeats_of_edited_copies(spark):
     share = sum(map(len, out.values())) / sum(map(len, true.values()))
     print("\nrecall", share, len(out) / len(true))
     assert share >= 0.95
+
+
+def test_lines_of_one_dense_key_take_little_memory():
+    rng = np.random.default_rng(3)
+    n = 4000
+    lines = pa.array(["".join(rng.choice(list("abcdefgh"), 40)) for _ in range(n)])
+    packed = np.full(n, round(np.log(40) * line_dedup.LOG)) | (1 << 32)
+    ids, root = np.arange(n) + 7, np.arange(n) // 2
+    t = pa.table({"x": np.ones(n, np.int64), "y": ids, "z": packed, "n": np.zeros(n, np.int64), "sketch": edits.sketches(lines), "root": root})
+    tracemalloc.start()
+    got = line_dedup._across_keys(t, 0.9, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 16 million pairs of two numbers are 256 MB
+    rows = edits.sketch_rows(t.column("sketch").chunk(0))
+    i, j = np.triu_indices(n, 1)
+    i, j = (v[root[i] != root[j]] for v in (i, j))
+    near = ~edits.far(rows, i, j, 0.9)
+    assert sorted(zip(*(got.column(c).to_pylist() for c in "ab"), strict=True)) == list(zip((i[near] + 7).tolist(), (j[near] + 7).tolist(), strict=True))
+
+
+def test_keys_meet_slice_by_slice_as_at_once():
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 60, 3000).astype(np.uint64))
+    code = rng.integers(3000, 3400, len(key))
+    order = np.lexsort((code, key))
+    key, code, ids = key[order], code[order], rng.permutation(len(key)).astype(np.uint64)
+    p, q = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    many = np.zeros(len(key), np.uint16)
+    i, j, more, dense = line_dedup._met(key, ids, code, p, q, many, 0.9, 4)
+    want = sorted(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(set(want)) == len(want)  # a pair that is there twice would count as two shared keys
+    for size in (1, 100, 10_000):
+        got, flags, end = [], [], 0
+        for own in line_dedup._slices(key, size):
+            assert own.start == end and own.stop > own.start
+            end = own.stop
+            a, b, m, d = line_dedup._met(*(v[own] for v in (key, ids, code, p, q, many)), 0.9, 4)
+            got += zip((a + own.start).tolist(), (b + own.start).tolist(), strict=True)
+            flags.append((m, d))
+        assert end == len(key) and sorted(got) == want
+        assert (np.concatenate([f[0] for f in flags]) == more).all() and (np.concatenate([f[1] for f in flags]) == dense).all()
+    assert list(line_dedup._slices(key[:0], 5)) == []
